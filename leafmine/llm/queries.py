@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmine.llm import chat_tree, line_dedup, mixing, quality, repeats, secret_ledger, winnow
+from leafmine.llm import chat_tree, jaccard_join, line_dedup, mixing, quality, repeats, secret_ledger, winnow
 from leafmine.llm.scratch import Scratch
 
 
@@ -22,6 +22,12 @@ def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.digests(chat_tree.read_back(packed, leaves, scratch))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.near_groups(_read(spark, sf_dir, "documents"))
+    as_id = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
+    return groups.select(as_id("k0").alias("doc_id"), "n_shingles", as_id("component").alias("component_id"))
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.versions(_read(spark, sf_dir, "documents"))
     scratch = Scratch(spark, "ledger")
@@ -64,7 +70,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_tree, op5_secret_ledger, op6_winnow, op7_quality, op8_mix, op9_line_dedup, op10_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_tree, op3_jaccard_join, op5_secret_ledger, op6_winnow, op7_quality, op8_mix, op9_line_dedup, op10_repeats)}
 
 _ESCAPED = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"
 

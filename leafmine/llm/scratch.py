@@ -4,6 +4,7 @@ A table that several later steps read is written once as Parquet: lost executors
 and the plan that follows reads its size from the files.
 """
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,10 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Delete tables that no later step reads."""
+        """Delete tables that no later step reads. Shuffle files of steps that are over go, too: Spark deletes
+        them when the driver's collector finds that nothing refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
