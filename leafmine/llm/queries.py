@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmine.llm import chat_tree, jaccard_join, line_dedup, mixing, quality, repeats, secret_ledger, winnow
+from leafmine.llm import chat_tree, decontaminate, jaccard_join, line_dedup, mixing, quality, repeats, secret_ledger, winnow
 from leafmine.llm.scratch import Scratch
 
 
@@ -28,6 +28,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(as_id("k0").alias("doc_id"), "n_shingles", as_id("component").alias("component_id"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.versions(_read(spark, sf_dir, "documents"))
     scratch = Scratch(spark, "ledger")
@@ -70,7 +75,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_tree, op3_jaccard_join, op5_secret_ledger, op6_winnow, op7_quality, op8_mix, op9_line_dedup, op10_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_tree, op3_jaccard_join, op4_decontaminate, op5_secret_ledger, op6_winnow, op7_quality, op8_mix, op9_line_dedup, op10_repeats)}
 
 _ESCAPED = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"
 
@@ -84,6 +89,21 @@ SQL: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,
             cast(sum(17 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) as bigint) formatted_chars
         from t group by conv_id""",
+    "op4_decontaminate": r"""
+        with dw as (select doc_id, t, list_filter(string_split_regex(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from (select doc_id, coalesce(text, '') t from documents)),
+        iw as (select row_number() over () item, * from (select distinct item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from benchmark) where len(w) >= 5),
+        ig as (select item, len(w) n, i k, array_to_string(w[i + 1 : i + 5], ' ') gram from iw, unnest(range(0, len(w) - 4)) u(i)),
+        dg as (select doc_id, t, i, array_to_string(w[i + 1 : i + 5], ' ') gram from dw, unnest(range(0, len(w) - 4)) u(i) where len(w) >= 5),
+        win as (select distinct doc_id, t, item, n, greatest(i - k, 0) s from dg join ig using (gram)),
+        wg as (select win.doc_id, win.t, item, n, s, gram, count(*) cw from win join dg on dg.doc_id is not distinct from win.doc_id and dg.t = win.t and dg.i >= s and dg.i + 5 <= s + n group by all),
+        c as (select item, gram, count(*) ci from ig group by all),
+        wt as (select gram, cast(round(1000 * ln(1 + (select count(*) from iw) / count(*))) as bigint) weight from c group by gram),
+        ti as (select item, sum(ci * weight) ti from c join wt using (gram) group by item),
+        m as (select doc_id, t, wg.item, n, s, sum(cw * coalesce(weight, cast(round(1000 * ln(1 + (select count(*) from iw))) as bigint))) tw, sum(least(cw, coalesce(ci, 0)) * coalesce(weight, 0)) b
+            from wg left join wt using (gram) left join c on c.item = wg.item and c.gram = wg.gram group by all),
+        r as (select doc_id, t, item_id, s, n, b, tw + ti - b e from m join ti using (item) join iw using (item) where 100 * b >= 75 * (tw + ti - b))
+        select doc_id, item_id, cast(s as int) "start", cast(n as int) n_words, cast(b as double) / cast(e as double) similarity from r
+        qualify row_number() over (partition by doc_id, t, item_id order by cast(b as double) / cast(e as double) desc, s, n) = 1""",
     "op8_mix": r"""
         with x as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) size,
                 cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 8)) as bigint) h from documents),
