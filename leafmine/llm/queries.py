@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmine.llm import chat_tree, decontaminate, jaccard_join, line_dedup, mixing, quality, repeats, secret_ledger, winnow
+from leafmine.llm import chat_tree, decontaminate, jaccard_join, line_dedup, mixing, quality, repeats, secret_ledger, token_output, winnow
 from leafmine.llm.scratch import Scratch
 
 
@@ -13,6 +13,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies. It is looked up on the driver; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -22,6 +29,12 @@ def op1_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.digests(chat_tree.read_back(packed, leaves, scratch))
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'tokens').root}/files"
+    token_output.write(_read(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_output.read(spark.read.schema(token_output.SEGMENT).parquet(path))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.near_groups(_read(spark, sf_dir, "documents"))
     as_id = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
@@ -75,7 +88,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_tree, op3_jaccard_join, op4_decontaminate, op5_secret_ledger, op6_winnow, op7_quality, op8_mix, op9_line_dedup, op10_repeats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_tree, op2_token_output, op3_jaccard_join, op4_decontaminate, op5_secret_ledger, op6_winnow, op7_quality, op8_mix, op9_line_dedup, op10_repeats)}
 
 _ESCAPED = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"
 
