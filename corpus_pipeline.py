@@ -12,6 +12,9 @@ from leafmine.llm.scratch import Scratch
 ORACLE_SQL = None
 
 
+# What the stages decide grows with the documents, so it is joined by sorting at every size and never sent to all tasks.
+
+
 def _with_key(docs: DataFrame) -> DataFrame:
     """docs with the keys of leafmine.llm.keys beside their own columns."""
     k0 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -31,7 +34,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = scratch.write(jaccard_join.near_groups(docs).filter("k0 = component"), "groups")
     # of rows that share this doc_id the one with the smallest key
     keep = scratch.write(groups.groupBy("k0").agg(F.min("k1").alias("k1"), F.count("*").alias("n")), "keep")
-    kept = _with_key(docs).join(keep.select(*KEY), KEY, "left_semi")
+    kept = _with_key(docs).hint("merge").join(keep.select(*KEY), KEY, "left_semi")
     if keep.filter("n > 1").limit(1).count():
         kept = kept.dropDuplicates(KEY)
     return kept.select(*docs.columns)
@@ -41,7 +44,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold no benchmark item."""
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*KEY).distinct()
     found = Scratch(spark, "held").write(found, "held")
-    return _with_key(docs).join(found, KEY, "left_anti").select(*docs.columns)
+    return _with_key(docs).hint("merge").join(found, KEY, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = mixing.mix(docs).filter("times > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k0"), F.col("source").alias("of"), "times")
     # rows that share doc_id and source are taken equally often
     times = Scratch(spark, "times").write(times.groupBy("k0", "of").agg(F.max("times").alias("times")), "times")
-    taken = docs.withColumn("k", key).join(times, (F.col("k") == F.col("k0")) & F.col("source").eqNullSafe(F.col("of")))
+    taken = docs.withColumn("k", key).hint("merge").join(times, (F.col("k") == F.col("k0")) & F.col("source").eqNullSafe(F.col("of")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
 
 
