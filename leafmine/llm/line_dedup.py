@@ -69,4 +69,4 @@ def remove_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     later = windows.join(many, ["h1", "h2"]).filter(place > F.col("first"))
     later = scratch.write(later.groupBy(*KEY).agg(F.collect_set("line").alias("starts")), "later")
     scratch.drop("windows", "many")
-    return docs.join(later, KEY, "left").select("doc_id", "text", "starts").mapInArrow(_cut(size), "doc_id long, n_lines long, n_removed long, kept_text string")
+    return docs.hint("merge").join(later, KEY, "left").select("doc_id", "text", "starts").mapInArrow(_cut(size), "doc_id long, n_lines long, n_removed long, kept_text string")
