@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
     some = some.select("doc_id", "quality", "text").mapInArrow(_mapped(None), "doc_id long, quality int, text string, features array<double>")
     got = some.select("doc_id", "quality", "features").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(rows).collect()
-    x = np.array([r["features"] for r in got]).reshape(len(got), -1)
+    x = np.array([r["features"] for r in got]).reshape(len(got), len(NAMES))
     return fit(x, np.array([float(r["quality"] > 0) for r in got]))
 
 
