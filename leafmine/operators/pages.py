@@ -41,15 +41,19 @@ def word_pages(blocks: DataFrame) -> DataFrame:
     return lines.groupBy("tender", "file").agg(text.alias("text")).select("tender", "file", F.lit(0).alias("page"), "text")
 
 
-def mark_boilerplate(pages: DataFrame) -> DataFrame:
-    """PG6: pages with boilerplate: two of a file's first three pages name the standing conditions, or one in a file of 50 or
-    more. Page texts aren't shuffled: only numbers and hits are."""
+def boilerplate_flags(pages: DataFrame) -> DataFrame:
+    """PG6: tender, file, boilerplate: two of a file's first three pages name the standing conditions, or one in a file of 50
+    or more. Page texts aren't shuffled: only numbers and hits are."""
     hits = pages.select("tender", "file", "page", F.coalesce("text", F.lit("")).rlike(C.I + R.STANDING).alias("hit"))
     order = Window.partitionBy("tender", "file").orderBy("page")
     first = hits.withColumn("r", F.row_number().over(order))
     flags = first.groupBy("tender", "file").agg(F.count("*").alias("n"), F.count_if(F.col("hit") & (F.col("r") <= 3)).alias("found"))
-    flags = flags.select("tender", "file", ((F.col("found") >= 2) | ((F.col("found") >= 1) & (F.col("n") >= 50))).alias("boilerplate"))
-    return pages.drop("boilerplate").join(flags, ["tender", "file"])
+    return flags.select("tender", "file", ((F.col("found") >= 2) | ((F.col("found") >= 1) & (F.col("n") >= 50))).alias("boilerplate"))
+
+
+def mark_boilerplate(pages: DataFrame) -> DataFrame:
+    """PG6: pages with boilerplate. Where only candidates need it, join boilerplate_flags() to these instead."""
+    return pages.drop("boilerplate").join(boilerplate_flags(pages), ["tender", "file"])
 
 
 def page_rank(priorities: list = R.PRIORITIES) -> Column:
