@@ -1,18 +1,19 @@
 """Exact Jaccard join of documents' shingle sets in the metric space of Jaccard distance.
 
 1. Equal sets become one class; only classes are compared.
-2. A bounded number of pivots, drawn from the classes that are still open, goes to every task. Each
-   class learns its distance to every pivot within twice the radius and lies in the Voronoi region of
-   the nearest. Classes within the radius of a pivot are linked to it, which settles how they hang
-   together: their pairs need not be looked at.
-3. By the triangle inequality a partner of such a class is at most one radius farther from the pivot.
-   If no unlinked class stands in that window, the class is done; otherwise it is replicated into the
-   next level with all others that are open. Levels go on with new pivots while regions are large.
-4. What is left lies at distance 1 from nearly everything, where no pivot can tell apart. These regions
-   are split by shingle: two sets within the radius must share enough of their first shingles in one
-   order, common shingles last. Pairs that share enough of them are compared exactly.
-
-Nothing is capped or sampled away: bounds on pivots and common shingles steer cost only.
+2. A bounded number of pivots, drawn from all classes, goes to every task. Each class learns its distance
+   to the pivots within twice the radius and so lies in their Voronoi regions. Classes within the
+   radius of a pivot are linked to it.
+3. By the triangle inequality a partner of a linked class is at most one radius farther from the pivot.
+   If no unlinked class stands in that window, the class is done; otherwise it is replicated into the next
+   level, with all classes that are far from every pivot.
+4. There, classes that share a shingle form regions: two sets within the radius share enough of their first
+   shingles in one order, common shingles last. Linked classes have a colour; a pair of one colour needs
+   no look. Regions of many colours get pivots of their own, measured exactly against all classes in
+   such regions, round after round, which merges colours. Pairs of different colours that share
+   enough first shingles are compared exactly.
+
+Nothing is capped or sampled away: bounds on pivots, rounds and common shingles steer cost only.
 """
 
 from collections.abc import Iterator
@@ -30,11 +31,13 @@ from leafmine.llm.scratch import Scratch
 WORDS, PERCENT = 5, 75
 #: Pivots a level, and the largest set of one: what each task gets is below PIVOTS * PIVOT_SIZE hashes.
 PIVOTS, PIVOT_SIZE = 256, 8192
-#: A level follows if so many classes stay open in regions; most levels.
-REGION_ROWS, LEVELS = 2000, 4
+#: The same for the pivots of regions.
+REGION_PIVOTS, REGION_PIVOT_SIZE = 2048, 2048
+#: Regions with more colours than CROWD get pivots of their own while they hold REGION_ROWS classes, in at most so many rounds.
+CROWD, REGION_ROWS, ROUNDS = 48, 500, 3
 #: Common shingles that each task knows; one class in COMMON_OF is looked at to find them.
 COMMON, COMMON_OF, COMMON_COUNT = 100_000, 64, 3
-_SIGS = 1 << 20
+_SIGS = 1 << 19
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, hasher: T.Hasher, over: T.Hasher, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +95,7 @@ def _hashes(k: int, nested: bool):
         for batch in batches:
             for lo, hi, _, h, at in shingles(batch):
                 if nested:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(T.signed(h)))], ["node", "h"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "h"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(T.signed(h))], ["h"])
 
@@ -134,9 +137,24 @@ class _Pivots:
         """Rows and pivots within twice the radius, sizes of union and intersection."""
         hit, where = self.lookup(h)
         n = self.first[where + 1] - self.first[where]
-        pair = np.repeat(row[hit], n) * len(self.nodes) + self.owner[T.ranges(self.first[where], self.first[where + 1])]
-        pair, both = np.unique(pair, return_counts=True)
-        r, p = pair // max(1, len(self.nodes)), pair % max(1, len(self.nodes))
+        r, total, found, lo, p = row[hit], np.cumsum(n), [], 0, len(self.nodes)
+        while lo < len(hit):
+            # whole rows, about a million shared shingles at once
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 20), "right"))
+            hi = int(np.searchsorted(r, r[max(lo, min(hi, len(r) - 1))], "left")) if hi < len(r) else hi
+            hi = hi if hi > lo else int(np.searchsorted(r, r[lo], "right"))
+            pair = np.repeat(r[lo:hi] - r[lo], n[lo:hi]) * p + self.owner[T.ranges(self.first[where[lo:hi]], self.first[where[lo:hi] + 1])]
+            cells = int(r[hi - 1] - r[lo] + 1) * p
+            if cells <= 4 * len(pair) + (1 << 20):
+                count = np.bincount(pair, minlength=cells)
+                pair = np.flatnonzero(count)
+                count = count[pair]
+            else:
+                pair, count = np.unique(pair, return_counts=True)
+            found.append((pair // p + r[lo], pair % p, count))
+            lo = hi
+        none = np.zeros(0, np.int64)
+        r, p, both = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
         either = np.diff(at)[r] + self.sizes[p] - both
         close = 100 * both >= max(1, 2 * percent - 100) * either
         return r[close], p[close], either[close], both[close]
@@ -148,24 +166,15 @@ class _Pivots:
         return r[inside]
 
 
-def _still_open(levels: list[_Pivots], row: np.ndarray, h: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    out = np.ones(len(at) - 1, bool)
-    for level in levels:
-        out[level.done(row, h, at, percent)] = False
-    return out
-
-
-def _near(levels, k: int, percent: int):
-    """Distances of the classes that earlier levels left open to the pivots of the last one."""
+def _near(sent, k: int, percent: int):
+    """Distances of classes to the pivots that are not farther than twice the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *before, pivots = levels.value
-        shingles = _Shingler(k)
+        pivots, shingles = sent.value, _Shingler(k)
         for batch in batches:
             node = _column(batch, "node")
             for lo, _, row, h, at in shingles(batch):
-                is_open = _still_open(before, row, h, at, percent)
-                r, p, either, both = (x[is_open[y[0]]] for y in [pivots.near(row, h, at, percent)] for x in y)
+                r, p, either, both = pivots.near(row, h, at, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(node[lo + r]), pa.array(pivots.nodes[p]), pa.array(either), pa.array(both.astype(np.int64))], ["node", "pivot", "either", "both"])
 
     return run
@@ -182,8 +191,8 @@ def least_shared(a, b, percent: int):
     return np.maximum(1, np.minimum(need - a + first_count(a, percent), need - b + first_count(b, percent)))
 
 
-def _signatures(common, levels, k: int, percent: int, buckets: int):
-    """The first shingles of the classes that all levels left open, dealt to buckets."""
+def _signatures(common, sent, k: int, percent: int, buckets: int):
+    """The first shingles of the classes that the pivots left open, dealt to buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, shingles = _Lookup(common.value), _Shingler(k)
@@ -205,7 +214,9 @@ def _signatures(common, levels, k: int, percent: int, buckets: int):
                 late[lookup(h)[0]] = True
                 order = np.lexsort((h, late, row))
                 rank = np.arange(len(h)) - at[row]
-                take = (rank < first_count(np.diff(at), percent)[row]) & _still_open(levels.value, row, h, at, percent)[row]
+                is_open = np.ones(len(at) - 1, bool)
+                is_open[sent.value.done(row, h, at, percent)] = False
+                take = (rank < first_count(np.diff(at), percent)[row]) & is_open[row]
                 held.append((T.mix(h[order][take]), node[lo + row[take]]))
                 if sum(len(x) for x, _ in held) >= _SIGS:
                     yield dealt()
@@ -237,37 +248,48 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(percent: int):
+    """Pairs of classes of different colours that share first shingles of this partition's buckets, with how many.
+
+    tag: 3 a pivot of all classes, 2 a pivot of all hot classes, 1 a hot class. What was measured isn't paired again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[_column(b, c) for c in ("bucket", "print", "node", "n")] for b in batches]
+        cols = [[_column(b, c) for c in ("bucket", "print", "node", "n", "colour", "tag")] for b in batches]
         if not cols:
             return
-        bucket, f, node, n = (np.concatenate(x) for x in zip(*cols, strict=True))
+        bucket, f, node, n, colour, tag = (np.concatenate(x) for x in zip(*cols, strict=True))
+        del cols
         key = bucket.astype(np.int64) << 32 | f.view(np.uint32).astype(np.int64)
-        order = np.lexsort((node, n, key))
-        key, node, n = key[order], node[order], n[order]
+        order = np.lexsort((colour, key))
+        key, node, n, colour, tag = key[order], node[order], n[order], colour[order], tag[order]
         names, local = np.unique(node, return_inverse=True)
         size = np.zeros(len(names), np.int64)
         size[local] = n
-        i, step, held, total = np.arange(len(key)), 0, [], 0
+        at = np.arange(len(key))
+        last = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        run_end = last[np.searchsorted(last, at, "right")]
+        last = np.append(np.flatnonzero((key[1:] != key[:-1]) | (colour[1:] != colour[:-1])) + 1, len(key))
+        own_end = last[np.searchsorted(last, at, "right")]
+        total = np.cumsum(run_end - own_end)
+        held, kept, lo = [], 0, 0
 
         def counted():
             pair, c = np.unique(np.concatenate(held), return_counts=True)
             a, b = pair >> 32, pair & 0xFFFFFFFF
             return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(size[a]), pa.array(size[b]), pa.array(c.astype(np.int64))], ["a", "b", "na", "nb", "c"])
 
-        while len(i):
-            step += 1
-            i = i[i + step < len(key)]
-            # sizes ascend within a key: the first that is too large ends the row of partners
-            i = i[(key[i] == key[i + step]) & (percent * n[i + step] <= 100 * n[i])]
-            for at in range(0, len(i), 1 << 20):
-                x, y = local[i[at : at + (1 << 20)]], local[i[at : at + (1 << 20)] + step]
-                held.append(np.minimum(x, y) << 32 | np.maximum(x, y))
-                total += len(x)
-                if total > 1 << 21:
-                    yield counted()
-                    held.clear()
-                    total = 0
+        while lo < len(key):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 18), "right")))
+            i = np.repeat(at[lo:hi], (run_end - own_end)[lo:hi])
+            j = T.ranges(own_end[lo:hi], run_end[lo:hi])
+            fits = (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])) & (np.maximum(tag[i], tag[j]) < 3)
+            fits &= (np.maximum(tag[i], tag[j]) < 2) | (np.minimum(tag[i], tag[j]) < 1)
+            x, y = local[i[fits]], local[j[fits]]
+            held.append(np.minimum(x, y) << 32 | np.maximum(x, y))
+            kept += len(x)
+            lo = hi
+            if kept > 1 << 20:
+                yield counted()
+                held, kept = [], 0
         if held:
             yield counted()
 
@@ -298,24 +320,30 @@ def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_compared(k, percent), "a long, b long, linked boolean")
 
 
-def _level(texts: DataFrame, drawn: DataFrame, levels: list[_Pivots], scratch: Scratch, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Measure all open classes against pivots (node) and append these to levels. Links to them; open classes in their regions."""
-    i = len(levels)
-    got = texts.join(F.broadcast(drawn), "node").select("node", "text").mapInArrow(_hashes(k, True), "node long, h array<long>").collect()
-    sizes = np.array([len(r["h"]) for r in got], np.int64)
-    pivots = _Pivots(np.array([r["node"] for r in got], np.int64), sizes, np.array([x for r in got for x in r["h"]], np.int64).view(np.uint64))
-    levels.append(pivots)
-    sent = scratch.spark.sparkContext.broadcast(levels)
-    near = scratch.write(texts.select("node", "text").mapInArrow(_near(sent, k, percent), "node long, pivot long, either long, both long"), f"near{i}")
-    apart = 1 - F.col("both") / F.col("either")
-    linked = F.col("both") * 100 >= F.col("either") * percent
-    stars = scratch.write(near.filter(linked & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")), f"star{i}")
-    outside = {r["pivot"]: r["outside"] for r in near.filter(~linked).groupBy("pivot").agg(F.min(apart).alias("outside")).collect()}  # a row for each pivot
+def _measured(texts: DataFrame, drawn: DataFrame, scratch: Scratch, name: str, k: int, percent: int) -> tuple[_Pivots, DataFrame]:
+    """Pivots (node) with their sets, and the distances of all texts to them."""
+    got = texts.join(F.broadcast(drawn), "node").select("node", "text").mapInArrow(_hashes(k, True), "node long, h binary").collect()
+    sizes = np.array([len(r["h"]) // 8 for r in got], np.int64)
+    pivots = _Pivots(np.array([r["node"] for r in got], np.int64), sizes, np.frombuffer(b"".join(r["h"] for r in got), np.uint64))
+    sent = scratch.spark.sparkContext.broadcast(pivots)
+    near = texts.select("node", "text").mapInArrow(_near(sent, k, percent), "node long, pivot long, either long, both long")
+    return pivots, scratch.write(near, name)
+
+
+def _stars(near: DataFrame, percent: int) -> DataFrame:
+    return near.filter((F.col("both") * 100 >= F.col("either") * percent) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
+def _windows(near: DataFrame, pivots: _Pivots, percent: int) -> None:
+    """For each pivot the smallest distance of a class that isn't linked to it."""
+    apart = F.min(1 - F.col("both") / F.col("either")).alias("outside")
+    rows = near.filter(F.col("both") * 100 < F.col("either") * percent).groupBy("pivot").agg(apart).collect()  # a row for each pivot
+    outside = {r["pivot"]: r["outside"] for r in rows}
     pivots.outside = np.array([outside.get(n, np.inf) for n in pivots.nodes.tolist()])
-    known = scratch.spark.createDataFrame([(n, float(o)) for n, o in zip(pivots.nodes.tolist(), pivots.outside, strict=True)], "pivot long, outside double")
-    done = linked & (apart + (1 - percent / 100) + 1e-9 < F.col("outside"))
-    within = near.join(F.broadcast(known), "pivot").groupBy("node").agg(F.max(done.cast("int")).alias("done")).filter("done = 0").select("node")
-    return stars, scratch.write(within, f"within{i}")
+
+
+def _coloured(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return components(scratch.write(links, f"{name}-edges"), scratch, name)
 
 
 def classes_of(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame]:
@@ -330,45 +358,68 @@ def classes_of(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, Da
 
 
 def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough of them to hold every component together."""
+    """node, label: how classes hang together; classes without links may lack."""
     spark = scratch.spark
-    stars, levels, drawn = [], [], texts.filter("n > 0").select("node", "n")
-    while len(levels) < LEVELS:
-        drawn = drawn.filter(F.col("n") <= PIVOT_SIZE).orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("node")
-        found, within = _level(texts, drawn, levels, scratch, k, percent)
-        stars.append(found)
-        if within.count() < REGION_ROWS:
-            break
-        drawn = within.join(texts.select("node", "n"), "node")
-    levels = spark.sparkContext.broadcast(levels)
+    drawn = texts.filter((F.col("n") > 0) & (F.col("n") <= PIVOT_SIZE)).orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("node")
+    pivots, near = _measured(texts, drawn, scratch, "near", k, percent)
+    _windows(near, pivots, percent)
+    stars = _stars(near, percent)
+    tags = [(n, 3) for n in pivots.nodes.tolist()]
     some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(COMMON_OF)) == 0).select("node", "text").mapInArrow(_hashes(k, False), "h long")
     some = some.groupBy("h").count().filter(F.col("count") >= COMMON_COUNT).orderBy(F.desc("count"), "h").limit(COMMON).collect()
     common = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in some], np.int64).view(np.uint64)))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sigs = texts.select("node", "text").mapInArrow(_signatures(common, levels, k, percent, buckets), "bucket int, prints binary, nodes binary")
+    sent = spark.sparkContext.broadcast(pivots)
+    sigs = texts.select("node", "text").mapInArrow(_signatures(common, sent, k, percent, buckets), "bucket int, prints binary, nodes binary")
     shared = scratch.write(sigs.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "bucket int, print int, node long"), "shared")
     # a class needs so many shared ones even with the smallest partner
-    small = F.ceil(F.col("n") * percent / 100).cast("long")
     ok = F.pandas_udf(lambda n, c: c >= least_shared(n.to_numpy(), -(-percent * n.to_numpy() // 100), percent), "boolean")
     live = shared.groupBy("node").agg(F.count("*").alias("c")).join(texts.select("node", "n"), "node").filter(ok("n", "c")).select("node", "n")
     live = scratch.write(live, "live")
-    kept = shared.join(live, "node").select("bucket", "print", "node", "n").repartitionById(buckets, F.col("bucket"))
-    pairs = kept.mapInArrow(_pairs(percent), "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    kept = scratch.write(shared.join(live, "node").select("bucket", "print", "node", "n"), "kept")
+    scratch.drop("shared")
+    # regions that hold many colours get pivots of their own, those first that no pivot is linked to yet
+    label, hot = _coloured(stars, scratch, "colour"), None
+    for i in range(ROUNDS):
+        # pivots are measured already
+        seen = spark.createDataFrame(tags, "node long, tag int")
+        paint = live.select("node").join(F.broadcast(seen), "node", "left_anti").join(label, "node", "left").select("node", F.coalesce("label", "node").alias("colour"))
+        paint = scratch.write(paint, f"paint{i}")
+        crowd = kept.join(paint, "node").groupBy("bucket", "print").agg(F.approx_count_distinct("colour", 0.1).alias("colours")).filter(F.col("colours") > CROWD)
+        crowd = scratch.write(crowd, f"crowd{i}")
+        inside = kept.join(crowd, ["bucket", "print"]).groupBy("node").agg(F.max("colours").alias("colours"))
+        inside = scratch.write(inside.join(paint, "node"), f"inside{i}")
+        if inside.count() < REGION_ROWS:
+            break
+        if hot is None:
+            hot = scratch.write(texts.join(inside.select("node"), "node", "left_semi"), "hot")
+        alone = F.col("colour") == F.col("node")
+        drawn = hot.filter(F.col("n") <= REGION_PIVOT_SIZE).select("node").join(inside, "node").orderBy(F.desc(alone), F.desc("colours"), F.xxhash64("node", F.lit(i)), "node").limit(REGION_PIVOTS).select("node")
+        more, near = _measured(hot, drawn, scratch, f"near{i}", k, percent)
+        tags += [(n, 2) for n in more.nodes.tolist()]
+        stars = stars.union(_stars(near, percent))
+        label = _coloured(stars, scratch, f"colour{i}")
+    seen = spark.createDataFrame(tags, "node long, tag int")
+    marks = live.select("node").join(label, "node", "left").join(F.broadcast(seen), "node", "left")
+    if hot is not None:
+        marks = marks.join(hot.select("node", F.lit(1).alias("hot")), "node", "left")
+    else:
+        marks = marks.withColumn("hot", F.lit(0))
+    marks = scratch.write(marks.select("node", F.coalesce("label", "node").alias("colour"), F.greatest(F.coalesce("tag", F.lit(0)), F.coalesce("hot", F.lit(0))).alias("tag")), "marks")
+    rows = kept.join(marks, "node").repartitionById(buckets, F.col("bucket"))
+    pairs = rows.mapInArrow(_pairs(percent), "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     enough = F.pandas_udf(lambda a, b, c: c >= least_shared(a.to_numpy(), b.to_numpy(), percent), "boolean")
     pairs = scratch.write(pairs.filter(enough("na", "nb", "c")).select("a", "b", (F.col("c") / F.col("na")).alias("likely")), "pairs")
-    scratch.drop("shared", "live")
-    edges = stars[0]
-    for more in stars[1:]:
-        edges = edges.union(more)
+    scratch.drop("kept", "live")
     # the likeliest partner of each first; then what is not held together yet
     ends = pairs.select(F.col("a").alias("node"), F.struct("likely", (-F.col("b")).alias("other")).alias("x")).union(pairs.select(F.col("b").alias("node"), F.struct("likely", (-F.col("a")).alias("other")).alias("x")))
     best = ends.groupBy("node").agg(F.max("x").alias("x")).select("node", (-F.col("x.other")).alias("other"))
     best = scratch.write(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "best")
     held = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = scratch.write(texts.join(held, "node", "left_semi").select("node", "text"), "held")
+    held = scratch.write(texts.hint("merge").join(held, "node", "left_semi").select("node", "text"), "held")
     checked = scratch.write(_compare(best, held, k, percent), "checked")
-    edges = scratch.write(edges.union(checked.filter("linked").select("a", "b")), "edges0")
-    label = components(edges, scratch, "first")
+    edges = stars.union(checked.filter("linked").select("a", "b"))
+    label = _coloured(edges, scratch, "first")
     rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(best, ["a", "b"], "left_anti")
     la, lb = (label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
     rest = rest.join(la, "a", "left").join(lb, "b", "left").filter("la is null or lb is null or la <> lb")
@@ -378,7 +429,7 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     more = scratch.write(_compare(rest, held, k, percent).filter("linked").select("a", "b"), "more")
     if not more.limit(1).count():
         return label
-    return components(edges.union(more), scratch, "second")
+    return _coloured(edges.union(more), scratch, "second")
 
 
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -394,7 +445,7 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     scratch = Scratch(docs.sparkSession, "jaccard")
     meta, texts = classes_of(docs, scratch, k)
     label = links(texts, scratch, k, percent)
-    scratch.drop("texts", "held", "pairs", "best", "checked", "edges0", "rest", "more", *(f"{x}{i}" for i in range(LEVELS) for x in ("near", "star", "within")))
+    scratch.drop("texts", "held", "hot", "pairs", "near")
     classes = scratch.read("classes", scratch.spark.read.parquet(f"{scratch.root}/classes")).select("node", "n", "d1", "d2")
     group = scratch.write(classes.join(label, "node", "left").select("n", "d1", "d2", F.coalesce("label", "node").alias("label")), "group")
     low = scratch.write(meta.join(group, ["n", "d1", "d2"], "left").select(*KEY, "n", "label"), "low")
