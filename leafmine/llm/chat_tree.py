@@ -1,10 +1,11 @@
 """Chat formatting as a prefix tree.
 
-A node is a turn together with all turns before it, so conversations that share initial turns share
-nodes. Each node is emitted once, in depth-first order, as a piece of one long packed stream. Its
-position ids run on from its parent's (as if the conversation stood alone); its tokens may attend to
-the stream intervals of its ancestors and, causally, to itself. Tokens are code points here; a
-tokenizer's pieces can take their place.
+A turn together with all turns before it is a place in the tree, so conversations that share initial
+turns share places. A node is a run of places that the same conversations pass: the tree branches only
+between nodes, and long unshared stretches are one node. Each node is emitted once, in depth-first order,
+as a piece of one long packed stream. Its position ids run on from its parent's (as if the conversation
+stood alone); its tokens may attend to the stream intervals of its ancestors and, causally, to itself.
+Tokens are code points here; a tokenizer's pieces can take their place.
 """
 
 import hashlib
@@ -46,36 +47,57 @@ def parse(piece: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
-def _nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for conv, turns in zip(frame["conv_id"], frame["turns"], strict=True):
-            path, ids, at = hashlib.sha256(), [], 0
-            for t in turns:
+            path, at = hashlib.sha256(), 0
+            for i, t in enumerate(turns):
                 piece, lo, hi = turn(t["role"], t["text"])
                 path.update(len(piece).to_bytes(8, "little") + piece.encode("utf-8", "surrogatepass"))
-                ids.append(path.hexdigest())
-                out.append((conv, ids[-1], [*ids], piece, len(piece), lo, hi, at, len(ids) == len(turns)))
+                out.append((conv, i, path.hexdigest(), piece, lo, hi, at))
                 at += len(piece)
-        yield pd.DataFrame(out, columns=["conv_id", "node", "path", "piece", "n", "loss_from", "loss_to", "position", "leaf"])
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "place", "piece", "loss_from", "loss_to", "position"])
+
+
+def _nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of a conversation's steps that equally many (and so the same) conversations pass."""
+    for frame in frames:
+        out = []
+        for conv, steps in zip(frame["conv_id"], frame["steps"], strict=True):
+            path, runs, last = [], [], None
+            for s in steps:
+                if s["passing"] != last:
+                    last = s["passing"]
+                    path.append(s["place"])
+                    runs.append([])
+                runs[-1].append({c: s[c] for c in ("position", "piece", "loss_from", "loss_to")})
+            for i, run in enumerate(runs):
+                out.append((conv, path[i], path[: i + 1], run, sum(len(p["piece"]) for p in run), run[0]["position"], i + 1 == len(runs)))
+        yield pd.DataFrame(out, columns=["conv_id", "node", "path", "pieces", "n", "position", "leaf"])
+
+
+_PIECES = "array<struct<position: long, piece: string, loss_from: long, loss_to: long>>"
 
 
 def tree(turns: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The packed nodes and the last node of each conversation.
 
-    nodes: node, path (ids of its ancestors and itself), piece, n, loss_from and loss_to (the loss mask
-    inside the piece), position (of its first token), start (in the stream), attend (the intervals
-    [from, to) of its ancestors). leaves: conv_id, node. Columns conv_id, turn, role and text are read;
-    null role or text is empty, null conv_id one conversation; equal turn numbers go by role, then text.
+    nodes: node, path (ids of its ancestors and itself), pieces (formatted turns with position and loss mask),
+    n, position (of its first token), start (in the stream), attend (the intervals [from, to) of its
+    ancestors). leaves: conv_id, node. Columns conv_id, turn, role and text are read; null role or text is
+    empty, null conv_id one conversation; equal turn numbers go by role, then text. No turns: no rows.
     """
     turns = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     talks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    steps = scratch.write(talks.mapInPandas(_nodes, "conv_id long, node string, path array<string>, piece string, n long, loss_from long, loss_to long, position long, leaf boolean"), "steps")
-    leaves = steps.filter("leaf").select("conv_id", "node")
+    steps = scratch.write(talks.mapInPandas(_steps, "conv_id long, turn int, place string, piece string, loss_from long, loss_to long, position long"), "steps")
+    passing = scratch.write(steps.groupBy("place").agg(F.count("*").alias("passing")), "passing")
+    whole = steps.join(passing, "place").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "place", "passing", "position", "piece", "loss_from", "loss_to"))).alias("steps"))
+    runs = scratch.write(whole.mapInPandas(_nodes, f"conv_id long, node string, path array<string>, pieces {_PIECES}, n long, position long, leaf boolean"), "runs")
+    leaves = runs.filter("leaf").select("conv_id", "node")
     # equal nodes have equal rows, so any one stands for all; they are combined before the shuffle
     parts = max(1, min(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), 2000))
-    nodes = steps.select("node", "path", "piece", "n", "loss_from", "loss_to", "position").dropDuplicates(["node"])
-    nodes = scratch.write(nodes, "distinct")
+    nodes = scratch.write(runs.select("node", "path", "pieces", "n", "position").dropDuplicates(["node"]), "distinct")
     # depth first is the order of paths; the parts follow each other in it
     ordered = nodes.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     ordered = scratch.write(ordered, "ordered")
@@ -92,7 +114,7 @@ def tree(turns: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     attend = ups.join(spans, "up").groupBy("node").agg(F.array_sort(F.collect_list("span")).alias("attend"))
     packed = ordered.drop("part", "row").join(place, "node").join(attend, "node", "left")
     packed = scratch.write(packed.withColumn("attend", F.coalesce("attend", F.array().cast("array<struct<from:bigint,to:bigint>>"))), "packed")
-    scratch.drop("distinct", "ordered", "place", "spans", "ups")
+    scratch.drop("steps", "passing", "distinct", "ordered", "place", "spans", "ups")
     return packed, leaves
 
 
@@ -110,14 +132,13 @@ def _running(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_back(packed: DataFrame, leaves: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, pieces: array<struct<depth, position, piece, loss_from, loss_to>> of every conversation, by depth.
+    """conv_id, pieces: array<struct<position, piece, loss_from, loss_to>> of every conversation, in order.
 
     Each last node is rebuilt once, however many conversations end in it.
     """
     ends = scratch.write(leaves.select("node").distinct().join(packed.select("node", "path"), "node").select(F.col("node").alias("end"), F.posexplode("path").alias("depth", "node")), "ends")
-    piece = F.struct("depth", "position", "piece", "loss_from", "loss_to")
-    full = ends.join(packed.select("node", "position", "piece", "loss_from", "loss_to"), "node").groupBy("end").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    full = scratch.write(full, "full")
+    full = ends.join(packed.select("node", "pieces"), "node").groupBy("end").agg(F.array_sort(F.collect_list(F.struct("depth", "pieces"))).alias("nodes"))
+    full = scratch.write(full.select("end", F.flatten(F.transform("nodes", lambda x: x["pieces"])).alias("pieces")), "full")
     return leaves.join(full, leaves["node"] == full["end"]).select("conv_id", "pieces")
 
 
