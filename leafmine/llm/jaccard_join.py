@@ -32,9 +32,9 @@ WORDS, PERCENT = 5, 75
 #: Pivots a level, and the largest set of one: what each task gets is below PIVOTS * PIVOT_SIZE hashes.
 PIVOTS, PIVOT_SIZE = 256, 8192
 #: The same for the pivots of regions.
-REGION_PIVOTS, REGION_PIVOT_SIZE = 2048, 2048
+REGION_PIVOTS, REGION_PIVOT_SIZE = 4096, 2048
 #: Regions with more colours than CROWD get pivots of their own while they hold REGION_ROWS classes, in at most so many rounds.
-CROWD, REGION_ROWS, ROUNDS = 48, 500, 3
+CROWD, REGION_ROWS, ROUNDS = 48, 500, 6
 #: Common shingles that each task knows; one class in COMMON_OF is looked at to find them.
 COMMON, COMMON_OF, COMMON_COUNT = 100_000, 64, 3
 _SIGS = 1 << 19
@@ -131,7 +131,7 @@ class _Pivots:
         order = np.argsort(hashes, kind="stable")
         known, first = np.unique(hashes[order], return_index=True)
         self.lookup, self.first = _Lookup(known), np.append(first, len(hashes))
-        self.owner = np.repeat(np.arange(len(nodes)), sizes)[order]
+        self.owner = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes)[order]
 
     def near(self, row: np.ndarray, h: np.ndarray, at: np.ndarray, percent: int) -> tuple:
         """Rows and pivots within twice the radius, sizes of union and intersection."""
@@ -167,15 +167,36 @@ class _Pivots:
 
 
 def _near(sent, k: int, percent: int):
-    """Distances of classes to the pivots that are not farther than twice the radius."""
+    """What a task learns of its classes' distances to pivots: a, b, apart.
+
+    A link of each class to its first pivot within the radius, links that hold together the pivots that share a
+    class (a row for each pivot at most), and for each pivot (a = b) the smallest distance of a class that isn't linked to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, shingles = sent.value, _Shingler(k)
+        one = np.arange(len(pivots.nodes))
+        outside = np.full(len(one), np.inf)
         for batch in batches:
             node = _column(batch, "node")
             for lo, _, row, h, at in shingles(batch):
                 r, p, either, both = pivots.near(row, h, at, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(node[lo + r]), pa.array(pivots.nodes[p]), pa.array(either), pa.array(both.astype(np.int64))], ["node", "pivot", "either", "both"])
+                linked = 100 * both >= percent * either
+                np.minimum.at(outside, p[~linked], (1 - both / either)[~linked])
+                r, p = r[linked], p[linked]
+                own, first = np.unique(r, return_index=True)
+                f = p[first][np.searchsorted(own, r)]
+                while (one[f] != one[p]).any():
+                    a, b = one[f], one[p]
+                    low = np.minimum(a, b)
+                    np.minimum.at(one, a, low)  # the labels themselves move, and with them all that bear them
+                    np.minimum.at(one, b, low)
+                    while (one[one] != one).any():
+                        one = one[one]
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo + own]), pa.array(pivots.nodes[p[first]]), pa.nulls(len(own), pa.float64())], ["a", "b", "apart"])
+        to = np.flatnonzero(one != np.arange(len(one)))
+        yield pa.RecordBatch.from_arrays([pa.array(pivots.nodes[to]), pa.array(pivots.nodes[one[to]]), pa.nulls(len(to), pa.float64())], ["a", "b", "apart"])
+        to = np.flatnonzero(np.isfinite(outside))
+        yield pa.RecordBatch.from_arrays([pa.array(pivots.nodes[to]), pa.array(pivots.nodes[to]), pa.array(outside[to])], ["a", "b", "apart"])
 
     return run
 
@@ -185,10 +206,11 @@ def first_count(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, n - -(-percent * n // 100) + 1 + n // 8)
 
 
-def least_shared(a, b, percent: int):
-    """First shingles that two sets of these sizes share at least if they are within the radius."""
-    need = -(-percent * (a + b) // (100 + percent))
-    return np.maximum(1, np.minimum(need - a + first_count(a, percent), need - b + first_count(b, percent)))
+def least_shared(a: str, b: str, percent: int) -> str:
+    """SQL: first shingles that two sets of these sizes share at least if they are within the radius."""
+    first = lambda n: f"least({n}, {n} - ({percent} * {n} + 99) div 100 + 1 + {n} div 8)"
+    need = f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}"
+    return f"greatest(1, least({need} - {a} + {first(a)}, {need} - {b} + {first(b)}))"
 
 
 def _signatures(common, sent, k: int, percent: int, buckets: int):
@@ -326,19 +348,18 @@ def _measured(texts: DataFrame, drawn: DataFrame, scratch: Scratch, name: str, k
     sizes = np.array([len(r["h"]) // 8 for r in got], np.int64)
     pivots = _Pivots(np.array([r["node"] for r in got], np.int64), sizes, np.frombuffer(b"".join(r["h"] for r in got), np.uint64))
     sent = scratch.spark.sparkContext.broadcast(pivots)
-    near = texts.select("node", "text").mapInArrow(_near(sent, k, percent), "node long, pivot long, either long, both long")
+    near = texts.select("node", "text").mapInArrow(_near(sent, k, percent), "a long, b long, apart double")
     return pivots, scratch.write(near, name)
 
 
-def _stars(near: DataFrame, percent: int) -> DataFrame:
-    return near.filter((F.col("both") * 100 >= F.col("either") * percent) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+def _stars(near: DataFrame) -> DataFrame:
+    return near.filter("a <> b").select("a", "b")
 
 
-def _windows(near: DataFrame, pivots: _Pivots, percent: int) -> None:
+def _windows(near: DataFrame, pivots: _Pivots) -> None:
     """For each pivot the smallest distance of a class that isn't linked to it."""
-    apart = F.min(1 - F.col("both") / F.col("either")).alias("outside")
-    rows = near.filter(F.col("both") * 100 < F.col("either") * percent).groupBy("pivot").agg(apart).collect()  # a row for each pivot
-    outside = {r["pivot"]: r["outside"] for r in rows}
+    rows = near.filter("apart is not null").groupBy("a").agg(F.min("apart").alias("outside")).collect()  # a row for each pivot
+    outside = {r["a"]: r["outside"] for r in rows}
     pivots.outside = np.array([outside.get(n, np.inf) for n in pivots.nodes.tolist()])
 
 
@@ -362,8 +383,8 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     spark = scratch.spark
     drawn = texts.filter((F.col("n") > 0) & (F.col("n") <= PIVOT_SIZE)).orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("node")
     pivots, near = _measured(texts, drawn, scratch, "near", k, percent)
-    _windows(near, pivots, percent)
-    stars = _stars(near, percent)
+    _windows(near, pivots)
+    stars = _stars(near)
     tags = [(n, 3) for n in pivots.nodes.tolist()]
     some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(COMMON_OF)) == 0).select("node", "text").mapInArrow(_hashes(k, False), "h long")
     some = some.groupBy("h").count().filter(F.col("count") >= COMMON_COUNT).orderBy(F.desc("count"), "h").limit(COMMON).collect()
@@ -373,8 +394,8 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     sigs = texts.select("node", "text").mapInArrow(_signatures(common, sent, k, percent, buckets), "bucket int, prints binary, nodes binary")
     shared = scratch.write(sigs.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "bucket int, print int, node long"), "shared")
     # a class needs so many shared ones even with the smallest partner
-    ok = F.pandas_udf(lambda n, c: c >= least_shared(n.to_numpy(), -(-percent * n.to_numpy() // 100), percent), "boolean")
-    live = shared.groupBy("node").agg(F.count("*").alias("c")).join(texts.select("node", "n"), "node").filter(ok("n", "c")).select("node", "n")
+    live = shared.groupBy("node").agg(F.count("*").alias("c")).join(texts.select("node", "n"), "node")
+    live = live.filter(f"c >= {least_shared('n', f'(({percent} * n + 99) div 100)', percent)}").select("node", "n")
     live = scratch.write(live, "live")
     kept = scratch.write(shared.join(live, "node").select("bucket", "print", "node", "n"), "kept")
     scratch.drop("shared")
@@ -394,10 +415,10 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
         if hot is None:
             hot = scratch.write(texts.join(inside.select("node"), "node", "left_semi"), "hot")
         alone = F.col("colour") == F.col("node")
-        drawn = hot.filter(F.col("n") <= REGION_PIVOT_SIZE).select("node").join(inside, "node").orderBy(F.desc(alone), F.desc("colours"), F.xxhash64("node", F.lit(i)), "node").limit(REGION_PIVOTS).select("node")
+        drawn = hot.filter(F.col("n") <= REGION_PIVOT_SIZE).select("node").join(inside, "node").orderBy(F.desc("colours"), F.desc(alone), F.xxhash64("node", F.lit(i)), "node").limit(REGION_PIVOTS).select("node")
         more, near = _measured(hot, drawn, scratch, f"near{i}", k, percent)
         tags += [(n, 2) for n in more.nodes.tolist()]
-        stars = stars.union(_stars(near, percent))
+        stars = stars.union(_stars(near))
         label = _coloured(stars, scratch, f"colour{i}")
     seen = spark.createDataFrame(tags, "node long, tag int")
     marks = live.select("node").join(label, "node", "left").join(F.broadcast(seen), "node", "left")
@@ -408,8 +429,8 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     marks = scratch.write(marks.select("node", F.coalesce("label", "node").alias("colour"), F.greatest(F.coalesce("tag", F.lit(0)), F.coalesce("hot", F.lit(0))).alias("tag")), "marks")
     rows = kept.join(marks, "node").repartitionById(buckets, F.col("bucket"))
     pairs = rows.mapInArrow(_pairs(percent), "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    enough = F.pandas_udf(lambda a, b, c: c >= least_shared(a.to_numpy(), b.to_numpy(), percent), "boolean")
-    pairs = scratch.write(pairs.filter(enough("na", "nb", "c")).select("a", "b", (F.col("c") / F.col("na")).alias("likely")), "pairs")
+    pairs = pairs.filter(f"c >= {least_shared('na', 'nb', percent)}")
+    pairs = scratch.write(pairs.select("a", "b", (F.col("c") / F.col("na")).alias("likely")), "pairs")
     scratch.drop("kept", "live")
     # the likeliest partner of each first; then what is not held together yet
     ends = pairs.select(F.col("a").alias("node"), F.struct("likely", (-F.col("b")).alias("other")).alias("x")).union(pairs.select(F.col("b").alias("node"), F.struct("likely", (-F.col("a")).alias("other")).alias("x")))

@@ -4,6 +4,7 @@ Texts stay the UTF-8 bytes of the batch: no Python string is made. A polynomial
 summed up once, gives the hash of any word or span as a difference of two sums.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,15 @@ class Hasher:
         return mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks and share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own house
+
+
 def rows(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a batch: first row, last row + 1, bytes, offsets of the rows in them. Null is empty."""
     col = batch.column(batch.schema.get_field_index(text))
@@ -80,6 +90,7 @@ def rows(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) ->
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
