@@ -29,14 +29,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by links of the Jaccard join, the one with the smallest doc_id."""
+    """Of documents that hang together by links of the Jaccard join, the one with the smallest doc_id; of rows that share it the one with the smallest key."""
     scratch = Scratch(spark, "one")
-    groups = scratch.write(jaccard_join.near_groups(docs).filter("k0 = component"), "groups")
-    # of rows that share this doc_id the one with the smallest key
-    keep = scratch.write(groups.groupBy("k0").agg(F.min("k1").alias("k1"), F.count("*").alias("n")), "keep")
-    kept = _with_key(docs).hint("merge").join(keep.select(*KEY), KEY, "left_semi")
+    groups = scratch.write(jaccard_join.near_groups(docs).select(*KEY, "label"), "groups")
+    rows = groups.groupBy("label", *KEY).agg(F.count("*").alias("n"))
+    first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(*KEY, "n")).alias("x")).select("x.*")
+    # empty sets link with nothing: all their rows stay
+    keep = scratch.write(first.union(rows.filter("label is null").select(*KEY, F.lit(0).cast("long"))), "keep")
+    kept = _with_key(docs).hint("merge").join(keep, KEY)
     if keep.filter("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(KEY)
+        kept = kept.filter("n <= 1").union(kept.filter("n > 1").dropDuplicates(KEY))
     return kept.select(*docs.columns)
 
 

@@ -243,7 +243,7 @@ def _signatures(common, sent, k: int, percent: int, buckets: int):
                 if sum(len(x) for x, _ in held) >= _SIGS:
                     yield dealt()
                     held.clear()
-        if held:
+        if any(len(x) for x, _ in held):  # the pivots may have left none open
             yield dealt()
 
     return run
@@ -454,12 +454,13 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
 
 
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """k0, k1 (see keys), n_shingles, component: the documents in groups that hang together by links.
+    """k0, k1 (see keys), n_shingles, component, label: the documents in groups that hang together by links.
 
     A set: the distinct k-word shingles of the text, A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`; with fewer
     words the whole sequence as one. Two documents link if 100 * intersection >= percent * union; an empty
     set (null text, no words) links with nothing. component: the smallest k0 of the group, which is the
-    smallest doc_id (null the lowest). Rows that repeat, also in doc_id, are rows of one group.
+    smallest doc_id (null the lowest). Rows that repeat, also in doc_id, are rows of one group. Groups that are not
+    linked can share a doc_id and so a component; label tells them apart (null: an empty set, a group of its own row).
     Other columns of docs are ignored. An empty table gives no rows.
     """
     docs = keyed(docs)
@@ -471,4 +472,4 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     group = scratch.write(classes.join(label, "node", "left").select("n", "d1", "d2", F.coalesce("label", "node").alias("label")), "group")
     low = scratch.write(meta.join(group, ["n", "d1", "d2"], "left").select(*KEY, "n", "label"), "low")
     least = scratch.write(low.filter("label is not null").groupBy("label").agg(F.min("k0").alias("component")), "least")
-    return low.join(least, "label", "left").select(*KEY, F.col("n").alias("n_shingles"), F.coalesce("component", "k0").alias("component"))
+    return low.join(least, "label", "left").select(*KEY, F.col("n").alias("n_shingles"), F.coalesce("component", "k0").alias("component"), "label")

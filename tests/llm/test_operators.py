@@ -314,3 +314,14 @@ def test_pipeline(spark, tmp_path):
             assert kept.join(docs, "doc_id", "left_anti").count() == 0 and 0 < kept.count() <= docs.count()
         docs = kept
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_pipeline_groups_that_share_a_doc_id(spark):
+    """Unlinked rows without doc_id, or with one doc_id, all stay; of a linked group one does, and no empty text goes."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (8, text("c")), (9, text("a")), (None, text("e")), (10, text("e") + " tail"), (11, text("f")), (11, text("f")), (12, text("f"))]
+    rows += [(None, None), (None, ""), (13, " \n"), (13, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(None, text("a")), (None, text("b")), (None, text("e")), (7, text("c")), (7, text("d")), (11, text("f")), (None, None), (None, ""), (13, " \n"), (13, "")]
+    assert _got(corpus_pipeline.one_of_each_group(spark, docs, "")) == sorted(want, key=repr)
