@@ -4,8 +4,10 @@ A window of a document as long as an item (in words) can only resemble the item
 shingle, so windows are laid where a shingle of the document meets one of an item, at the place that
 lines them up. Window and item get SimHash fingerprints of their words. The items' fingerprints stand
 in a multi-index: RADIUS + 1 blocks, of which one at least is equal if no more than RADIUS bits
-differ, so the lookup finds every window within the radius. What it finds is compared exactly, by
-the weighted Jaccard similarity of the shingle multisets; a shingle weighs the more, the fewer items have it.
+differ, so the lookup finds every window within the radius. Similar windows can lie farther apart, so
+those pass as well whose document shares enough shingle weight with the item to reach the similarity.
+What is found either way is compared exactly, by the weighted Jaccard similarity of the shingle
+multisets; a shingle weighs the more, the fewer items have it.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -68,21 +70,27 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = WORDS, percent: int = PERC
     d = d.select(*KEY, "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("i"))
     d = d.select(*KEY, "w", "i", F.xxhash64(F.concat_ws(" ", *[F.col("w")[F.col("i") + j] for j in range(k)])).alias("seed"))
     start = F.greatest(F.col("i") - F.col("at"), F.lit(0))
-    hits = d.join(sent(seeds), "seed").select(*KEY, "item", start.alias("start"), F.slice("w", start + 1, F.col("length")).alias("win"))
+    hits = d.join(sent(seeds), "seed").select(*KEY, "item", "at", start.alias("start"), F.slice("w", start + 1, F.col("length")).alias("win"))
     place = [*KEY, "item", "start"]
-    windows = scratch.write(hits.groupBy(*place).agg(F.first("win").alias("win")), "windows")
-    # the items' index of blocks, and the windows' lookups in it
-    prints = _simhash(i, ["item"], "w")
-    index = scratch.write(prints.select("item", *[F.col(f"p{x}").alias(f"q{x}") for x in range(4)], F.explode(_blocks()).alias("block")), "index")
-    found = _simhash(windows, place, "win").select(*place, *[f"p{x}" for x in range(4)], F.explode(_blocks()).alias("block")).join(sent(index), ["item", "block"])
-    apart = sum((F.bit_count(F.col(f"p{x}").bitwiseXOR(F.col(f"q{x}"))) for x in range(1, 4)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
-    found = scratch.write(found.filter(apart <= RADIUS).select(*place).distinct(), "found")
-    # exact: whole-number weights, so that sums don't depend on their order
+    windows = scratch.write(hits.groupBy(*place).agg(F.first("win").alias("win"), F.collect_set("at").alias("ats")), "windows")
+    # whole-number weights, so that sums don't depend on their order
     weigh = lambda n: F.round(1000 * F.log(1 + F.lit(n_items) / n)).cast("long")
     of_item = scratch.write(grams.groupBy("item", "gram").agg(F.count("*").alias("ci")), "of_item")
     weights = scratch.write(of_item.groupBy("gram").agg(weigh(F.count("*")).alias("weight")), "weights")
     of_item = of_item.join(weights, "gram")
     sums = scratch.write(of_item.groupBy("item").agg(F.sum(F.col("ci") * F.col("weight")).alias("ti")), "sums")
+    # the items' index of blocks, and the windows' lookups in it
+    prints = _simhash(i, ["item"], "w")
+    index = scratch.write(prints.select("item", *[F.col(f"p{x}").alias(f"q{x}") for x in range(4)], F.explode(_blocks()).alias("block")), "index")
+    found = _simhash(windows, place, "win").select(*place, *[f"p{x}" for x in range(4)], F.explode(_blocks()).alias("block")).join(sent(index), ["item", "block"])
+    apart = sum((F.bit_count(F.col(f"p{x}").bitwiseXOR(F.col(f"q{x}"))) for x in range(1, 4)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
+    # no window shares more with an item than its whole document, and what either has weighs the item's own weight at least
+    worth = scratch.write(grams.join(weights, "gram").select("item", "at", "weight"), "worth")
+    shared = windows.select(*KEY, "item", F.explode("ats").alias("at")).distinct().join(sent(worth), ["item", "at"]).groupBy(*KEY, "item").agg(F.sum("weight").alias("most"))
+    enough = shared.join(sums, "item").filter(F.col("most") * 100 >= F.col("ti") * percent).select(*KEY, "item")
+    found = found.filter(apart <= RADIUS).select(*place).union(windows.join(enough, [*KEY, "item"]).select(*place))
+    found = scratch.write(found.distinct(), "found")
+    # exact
     own = windows.join(found, place).select(*place, F.explode(_shingles("win", k)).alias("gram")).groupBy(*place, "gram").agg(F.count("*").alias("cw"))
     own = own.join(weights, "gram", "left").withColumn("weight", F.coalesce("weight", weigh(F.lit(1))))
     own = own.join(of_item.select("item", "gram", "ci"), ["item", "gram"], "left")

@@ -148,6 +148,20 @@ def test_leaks(spark, docs, rows, none):
     assert not decontaminate.leaks(none, bench).count() and not decontaminate.leaks(docs, bench.limit(0)).count()
 
 
+def test_leaks_at_exactly_the_similarity(spark):
+    """Copies whose last words are replaced until 3 of 4 shingles are shared: no distance of fingerprints loses one."""
+    rng = np.random.default_rng(5)
+    items, texts = [], []
+    for i in range(400):
+        n, cut = ((39, 5), (53, 7))[i % 2]
+        w = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        items.append((i, " ".join(w)))
+        texts.append((i, " ".join(w[:-cut] + [f"t{x}" for x in rng.integers(0, 10**9, cut)])))
+        texts.append((1000 + i, " ".join(w[: -cut - 1] + [f"t{x}" for x in rng.integers(0, 10**9, cut + 1)])))
+    found = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in found) == [(i, i, 0, 0.75) for i in range(400)]
+
+
 def test_secrets(spark, docs, rows, none):
     rules = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
     tricky = ["token:token: abcdefgh", "token=secret=abcdefg PASSWORD = 'hunter2!'", "AKIAAKIA" + "B" * 18, "f" * 23 + " " + "f" * 24, "api key api_key\": 12345 apikey=123456"]
