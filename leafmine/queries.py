@@ -676,6 +676,12 @@ def in4(spark, d):
 
 @_query("w1_extraction", X.W1_SQL)
 def w1(spark, d):
+    silent = spark.createDataFrame([], "tender string, field string, value string, ref string, conf string")  # a second reader that ran and found nothing
+    return X.extract(X.sample_pages(spark, d), RULES, silent).select("tender", "ord", "value", "conf", "flag")
+
+
+@_query("w1_rules_only", X.W1_RULES_ONLY_SQL)
+def w1_rules_only(spark, d):
     return X.extract(X.sample_pages(spark, d), RULES).select("tender", "ord", "value", "conf", "flag")
 
 
