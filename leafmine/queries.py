@@ -370,6 +370,16 @@ def ai2(spark, d):
     return A.chunk_corpus(A.corpus(_t(spark, d, "conversations").selectExpr(*_split(_TALK))), 900, 3)
 
 
+@_query("ai2_chunks_whole", f"""
+    with recursive c as ({_CORPUS_SQL}),
+    r(tender, corpus, chunk, pos, cut) as (
+        select tender, corpus, 0, 0, case when length(corpus) <= 900 then length(corpus) else cut end from (select *, {X.cut_sql("0")} cut from c)
+        union all select tender, corpus, chunk + 1, cut, {X.cut_sql("cut")} from r where cut < length(corpus))
+    select tender, chunk, substr(corpus, cast(pos + 1 as bigint), cast(cut - pos as bigint)) "text" from r""")
+def ai2_whole(spark, d):
+    return A.chunk_corpus(A.corpus(_t(spark, d, "conversations").selectExpr(*_split(_TALK))), 900, (1 << 31) - 1)
+
+
 # lineitem as answers: tender the order, chunk the line, the price as value, confidence by return flag
 _ANSWER = """concat('{"fields": {"emd": {"value": "', case when l_linenumber % 3 = 0 then 'NOT FOUND' else concat('Rs. ', cast(l_extendedprice as bigint)) end, '", "confidence": "', case l_returnflag when 'A' then 'high' when 'N' then 'medium' else 'low' end, '", "source_file": "f.pdf", "page": ', l_linenumber, '}}}')"""
 

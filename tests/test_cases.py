@@ -135,6 +135,13 @@ def test_chunks():
     assert len(scan.chunks("z" * 1000, 100, 3)) == 3
 
 
+def test_chunks_beyond_most(spark):
+    text = "<<<FILE: a | PAGE: 1>>>\n" + "x" * 5000
+    corpora = spark.createDataFrame([("t", text)], "tender string, corpus string")
+    join = lambda most: "".join(r.text for r in A.chunk_corpus(corpora, 900, most).orderBy("chunk").collect())
+    assert join(3) == text[:2700] and join(6) == text
+
+
 def test_answers(spark):
     rows = [("t", 1, "one", ""), ("t", 1, "two", '{"fields": {"emd": {"value": "NOT FOUND", "confidence": "high"}, "scope_of_work": {"value": "short"}}}'), ("t", 2, "one", '```json\n{"fields": {"emd": {"value": "Rs. 5", "confidence": "odd"}, "scope_of_work": {"value": "longer text"}, "zzz": {"value": "x"}}}\n```'), ("t", 3, "one", "no json")]
     df = spark.createDataFrame(rows, "tender string, chunk int, provider string, json string")
