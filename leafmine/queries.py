@@ -66,6 +66,19 @@ def pg2(spark, d):
     return got.select("tender", "file", "page", "ocr", F.length("text").cast("long").alias("n"))
 
 
+_DECODED_WHOLE = "source as tender, lang as file, cast(doc_id as int) as page, substr(text, 1, cast(case doc_id % 3 when 0 then 20 else length(text) end as int)) as text_layer, text as ocr_text"
+
+
+@_query("pg2_whole_text", rf"""
+    with d as (select {_DECODED_WHOLE} from documents), t as (select *, length(trim(text_layer, chr(32) || chr(10))) a, length(trim(ocr_text, chr(32) || chr(10))) b from d),
+    q as (select *, a < 60 and b > a fits from t), r as (select *, fits and sum(cast(fits as int)) over (partition by tender, file order by page) <= 5 ocr from q),
+    c as (select *, regexp_replace(regexp_replace(case when ocr then ocr_text else text_layer end, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') x from r)
+    select tender, file, page, ocr, length(regexp_replace(x, '^\s+|\s+$', '', 'g')) n from c""")
+def pg2_whole(spark, d):
+    got = P.choose_page_text(_t(spark, d, "documents").selectExpr(*_split(_DECODED_WHOLE)), most_ocr=5)
+    return got.select("tender", "file", "page", "ocr", F.length("text").cast("long").alias("n"))
+
+
 def _split(cols: str) -> list[str]:
     """Top-level comma-separated expressions."""
     out, depth, quoted, last = [], 0, False, ""
@@ -120,6 +133,12 @@ def pg6(spark, d):
     return P.mark_boilerplate(pages).groupBy("tender", "file").agg(F.count("*").alias("pages"), (F.count("*") >= 50).alias("long_file"), F.first("boilerplate").alias("boilerplate"))
 
 
+@_query("pg6_whole_text", SQL["pg6_mark_boilerplate"])
+def pg6_whole(spark, d):
+    pages = _t(spark, d, "documents").selectExpr("source tender", "lang file", "doc_id page", f"{_STANDING.replace('substr(text, 1, 200)', 'text')} text")
+    return P.mark_boilerplate(pages).groupBy("tender", "file").agg(F.count("*").alias("pages"), (F.count("*") >= 50).alias("long_file"), F.first("boilerplate").alias("boilerplate"))
+
+
 _TALK = "cast(conv_id as string) as tender, concat(role, case when conv_id % 2 = 0 then ' tender.txt' else ' boq.txt' end) as file, cast(turn as int) as page, text, false as ocr, role = 'system' as boilerplate"
 _TALK_SQL = _TALK.replace("as string", "as varchar")
 
@@ -161,6 +180,14 @@ def pg10(spark, d):
     return _t(spark, d, "documents").selectExpr("doc_id", f"{line} as s").select("doc_id", C.is_junk_line(F.col("s")).alias("junk"))
 
 
+@_query("pg10_every_line", r"""
+    with x as (select doc_id, unnest(string_split(text, chr(10))) s from documents)
+    select doc_id, s line, length(s) = 0 or regexp_matches(s, '[\x{0900}-\x{097F}]') or (length(s) >= 15 and length(regexp_replace(s, '[^\p{L}\p{N}]', '', 'g')) / length(s) < 0.35) junk from x""")
+def pg10_every_line(spark, d):
+    lines = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("doc_id", "line", C.is_junk_line(F.col("line")).alias("junk"))
+
+
 # --- values ----------------------------------------------------------------------------------------------------
 
 _N = "(o_orderkey % 900000 + 1000)"
@@ -185,6 +212,20 @@ def vp2(spark, d):
     return x.select("o_orderkey", "a.value", "a.pos")
 
 
+@_query("vp1_all_orders", f"""select o_orderkey, cast({_MONEY_SQL} as double) marked, cast(case when o_orderkey % 8 <> 5 then {_MONEY_SQL} when {_N} not between 1900 and 2100 then {_N} end as double) bare from orders""")
+def vp1_all(spark, d):
+    x = _t(spark, d, "orders").selectExpr("o_orderkey", f"{_MONEY} as s")
+    return x.select("o_orderkey", _amount_of(False)("s").alias("marked"), _amount_of(True)("s").alias("bare"))
+
+
+# a bare 1900 to 2100 is a year: no amount, and -1 as its place
+@_query("vp2_all_orders", f"""select o_orderkey, cast(case when {_N} not between 1900 and 2100 then {_N} end as double) "value", cast(case when {_N} between 1900 and 2100 then -1 else length('Bidding-') end as bigint) pos from orders""")
+def vp2_all(spark, d):
+    at = F.udf(lambda s: scan.first_amount_at(s or "", True)[::2], "struct<value: double, pos: long>", useArrow=True)
+    x = _t(spark, d, "orders").selectExpr("o_orderkey", f"concat('Bidding-', {_N}) as s").select("o_orderkey", at("s").alias("a"))
+    return x.select("o_orderkey", "a.value", "a.pos")
+
+
 _D = "date_format(o_orderdate, 'dd-MM-yyyy')"
 _D_SQL = "strftime(o_orderdate, '%d-%m-%Y')"
 
