@@ -1,11 +1,12 @@
-"""A range coder for blocks of token ids, mixed from predictions of order 0 to 2.
+"""A range coder for blocks of token ids, mixed from adaptive predictions of order 0 to 2.
 
 In each block, two tables remember which id last followed the last id (order 1) and the last two
-(order 2). How far each is trusted is learned from how it did so far in the block, given how
-sure its entry is and whether the two agree; what they leave goes to the id frequencies of the segment
-(order 0). The mixture drives an arithmetic coder of 20-bit steps. Every block starts anew,
-so any one decodes by itself, and carries a checksum. Blocks of a segment are coded side by
-side, one id of each at a time, which makes each step of the coder a few numpy operations.
+(order 2), and a counter follows the id that the block holds most often (order 0). How far each is trusted
+is learned from how it did so far in the block, given how sure the entries of orders 1 and 2 are and whether they
+agree; what all leave goes to the id frequencies in the segment's head. The mixture drives an
+arithmetic coder of 20-bit steps. Every block starts anew, so any one decodes by itself (with the head), and
+carries a checksum; so does the head. Blocks of a segment are coded side by side, one id of each at a
+time, which makes each step of the coder a few numpy operations.
 """
 
 import struct
@@ -14,17 +15,23 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-MAGIC = b"IDMX\x01"
+MAGIC = b"IDMX\x02"
+#: Blocks that are coded side by side at most: their tables stay near the processor.
+LANES = 4096
 _BITS = 20  # of a coder step, and of the words written
-_FREQ = 17  # of the order-0 frequencies' total
+_FREQ = 17  # of the total of the frequencies in the head
 _SLOTS = 9  # bits of an order-1 or order-2 table's size
+_SHARE = 13 << _BITS - 4  # of the range, at most, for all predictions
+_KEEP, _SURE = 10, 40  # the order-0 candidate: what a hit adds, and the most it can have
 _U = np.uint64
-_B, _F = _U(_BITS), _U(_FREQ)
-_TOP, _MASK3, _WORD = _U(1 << 2 * _BITS), _U((1 << 3 * _BITS) - 1), _U((1 << _BITS) - 1)
+_B = _U(_BITS)
+_TOP, _MASK3 = _U(1 << 2 * _BITS), _U((1 << 3 * _BITS) - 1)
+_OVER = 1 + 2.0**-40
+_HEAD = "<QII"
 
 
 class Corrupt(ValueError):
-    """A block whose ids don't have its checksum."""
+    """Ids, or a segment's head, without their checksum, or a segment that is cut off."""
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,103 +47,128 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """The state of all blocks (lanes) of a segment."""
+    """The state of blocks (lanes) that are coded side by side. Row 0 of two is order 1, row 1 order 2."""
 
     def __init__(self, lanes: int):
-        self.at = np.arange(lanes, dtype=np.int64) << _SLOTS
+        at = np.arange(lanes, dtype=np.intp)
+        self.lanes, self.lane = lanes, at
+        self.base = np.stack((2 * at, 2 * at + 1)) << _SLOTS
         # an entry is its id, and in the last two bits how sure it is
-        self.last1, self.last2 = np.zeros(lanes << _SLOTS, np.int32), np.zeros(lanes << _SLOTS, np.int32)
-        # 32 contexts: sureness of both, agreement; shares of order 2 and of order 1 in 16 bits each
-        self.trust = np.full(lanes * 32, 1 << 29 | 1 << 13, np.int64)
-        self.lane32 = np.arange(lanes, dtype=np.int64) * 32
-        self.a = np.zeros(lanes, np.int64)
-        self.b = np.zeros(lanes, np.int64)
-
-    def predict(self) -> tuple:
-        """Predicted ids of order 1 and 2, and the upper ends of their intervals of the coder's range."""
-        h = self.b * 0x9E3779B1
-        self.s1 = self.at + (h >> 15 & (1 << _SLOTS) - 1)
-        self.s2 = self.at + (h + self.a * 0x85EBCA77 >> 15 & (1 << _SLOTS) - 1)
-        v1, v2 = self.last1.take(self.s1), self.last2.take(self.s2)
-        self.v1, self.v2 = v1, v2
-        self.p1, self.p2 = v1 >> 2, v2 >> 2
-        self.k = self.lane32 + ((v2 & 3) << 3 | (v1 & 3) << 1 | (self.p1 == self.p2))
+        self.last = np.zeros(2 * lanes << _SLOTS, np.int32)
+        # 32 contexts: sureness of both, agreement; trust in order 2 and in order 1, 16 bits each
+        self.trust = np.full(32 * lanes, 1 << 29 | 1 << 13, np.uint32)
+        self.lane32 = at * 32
+        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.most, self.held, self.t0 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.full(lanes, 1 << 11, np.int32)
+        self.slot = np.empty((2, lanes), np.intp)
+        self.ends = np.zeros((5, lanes), np.int64)  # of order 2, 1 and 0; the interval of an id that none of them says
+
+    def predict(self) -> None:
+        """Predicted ids (p: orders 1 and 2; most: order 0), and the ends of their intervals of the coder's range."""
+        h = self.b * np.uint32(0x9E3779B1)
+        np.add(self.base[0], h >> np.uint32(32 - _SLOTS), out=self.slot[0])
+        h += self.a * np.uint32(0x85EBCA77)
+        np.add(self.base[1], h >> np.uint32(32 - _SLOTS), out=self.slot[1])
+        self.v = self.last.take(self.slot)
+        self.p, self.sure = self.v >> 2, self.v & 3
+        self.k = self.lane32 + (self.sure[1] << 3 | self.sure[0] << 1 | (self.p[0] == self.p[1]))
         trust = self.trust.take(self.k)
-        self.t2, self.t1 = trust >> 16, trust & 0xFFFF
-        # 13/16 of the range at most for both
-        e2 = self.t2 * 13 + 1
-        return self.p1, self.p2, e2 + 1 + (self.t1 * (65536 - self.t2) >> 16) * 13, e2
+        self.t2, self.t1 = (trust >> np.uint32(16)).astype(np.int64), (trust & np.uint32(0xFFFF)).astype(np.int64)
+        e2, e1, e0 = self.ends[1], self.ends[2], self.ends[3]
+        np.add(self.t2 * (_SHARE >> 16), 1, out=e2)
+        np.add(e2, (self.t1 * (_SHARE - e2) >> 16) + 1, out=e1)
+        np.add(e1, (self.t0 * (_SHARE - e1) >> 16) + 3, out=e0)
 
-    def update(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+    def update(self, x: np.ndarray, hit: np.ndarray, hit0: np.ndarray) -> None:
+        """x: the ids; hit: where order 1 and order 2 said so; hit0: where order 0 did."""
         # order 1 is asked where order 2 was wrong
-        t1 = self.t1 + np.where(hit2, 0, hit1 * 65535 - self.t1 >> 4)
-        self.trust[self.k] = self.t2 + (hit2 * 65535 - self.t2 >> 4) << 16 | t1
-        new = x << 2
-        for last, s, v, hit in ((self.last1, self.s1, self.v1, hit1), (self.last2, self.s2, self.v2, hit2)):
-            # right: surer; wrong: less sure by two, or replaced
-            last[s] = np.where(hit, v + ((v & 3) < 3), np.where(v & 2, v - 2, new))
-        self.a, self.b = self.b, x.astype(np.int64)
+        t1 = self.t1 + np.where(hit[1], 0, hit[0] * 65535 - self.t1 >> 4)
+        t2 = self.t2 + (hit[1] * 65535 - self.t2 >> 4)
+        self.trust[self.k] = t2 << 16 | t1
+        # right: surer; wrong: less sure by two, or replaced
+        self.last[self.slot] = np.where(hit, self.v + (self.sure < 3), np.where(self.sure > 1, self.v - 2, x << 2))
+        self.t0 += hit0 * 65535 - self.t0 >> 7
+        self.held += hit0 * (_KEEP + 1) - 1
+        np.minimum(self.held, _SURE, out=self.held)
+        gone = self.held < 0
+        np.copyto(self.most, x, where=gone)
+        np.copyto(self.held, _KEEP, where=gone)
+        self.a, self.b = self.b, x.astype(np.uint32)
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: all ids in blocks of `block`, each with its checksum."""
-    ids = np.ascontiguousarray(ids, np.uint32)
-    n = len(ids)
-    head = MAGIC + struct.pack("<QI", n, block)
-    if not n:
-        return head
-    present, freq = frequencies(ids)
-    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.int64)
-    low_of, high_of = (np.zeros(int(present[-1]) + 1, np.int64) for _ in range(2))
-    low_of[present], high_of[present] = cum[:-1], cum[1:]
-    lanes = -(-n // block)
-    full = np.zeros(lanes * block, np.uint32)
-    full[:n] = ids
-    full[n:] = ids[-1]
-    steps = full.reshape(lanes, block).T.astype(np.int32)
+def _case(hit: np.ndarray, hit0: np.ndarray) -> np.ndarray:
+    """0 where order 2 says the id, 1 where order 1 does, 2 where order 0 does, 3 elsewhere."""
+    miss2 = ~hit[1]
+    miss1 = miss2 & ~hit[0]
+    return miss2.astype(np.intp) + miss1 + (miss1 & ~hit0)
+
+
+def _coded(steps: np.ndarray, low_of: np.ndarray, high_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 20-bit words of some blocks, one after another, and how many each has. steps: id of each block, step by step."""
+    n, lanes = steps.shape
     model = _Model(lanes)
     low, rng = np.zeros(lanes, _U), np.full(lanes, _MASK3, _U)
-    width = block * 2 + 8
-    out = np.zeros(lanes * width, np.uint32)
-    base = np.arange(lanes, dtype=np.int64) * width + 1
-    pos = base.copy()
-    for x in steps:
-        p1, p2, e1, e2 = model.predict()
-        left = (1 << _BITS) - e1
-        lo = e1 + (low_of.take(x) * left >> _FREQ)
-        hi = e1 + (high_of.take(x) * left >> _FREQ)
-        hit2, hit1 = x == p2, x == p1
-        lo = np.where(hit2, 0, np.where(hit1, e2, lo))
-        hi = np.where(hit2, e2, np.where(hit1, e1, hi))
+    # of each step: its word, whether it is written, and what the step carries into the words before
+    word, full, carry = np.empty((n + 3, lanes), np.uint32), np.ones((n + 3, lanes), bool), np.zeros((n + 3, lanes), np.uint8)
+    lows, highs = np.empty((4, lanes), np.int64), np.empty((4, lanes), np.int64)
+    for i, x in enumerate(steps):
+        model.predict()
+        hit, hit0 = model.p == x, model.most == x
+        lows[:3], highs[:3] = model.ends[:3], model.ends[1:4]
+        left = (1 << _BITS) - model.ends[3]
+        np.add(low_of.take(x) * left >> _FREQ, model.ends[3], out=lows[3])
+        np.add(high_of.take(x) * left >> _FREQ, model.ends[3], out=highs[3])
+        at = _case(hit, hit0) * lanes + model.lane
+        lo, hi = lows.take(at), highs.take(at)
         part = rng >> _B
-        low = low + part * lo.astype(_U)
-        rng = part * (hi - lo).astype(_U)
-        out[pos - 1] += (low >> _U(3 * _BITS)).astype(np.uint32)  # a carry
+        low += part * lo.view(_U)
+        rng = part * (hi - lo).view(_U)
+        carry[i] = low >> _U(3 * _BITS)
         low &= _MASK3
         small = rng < _TOP
-        out[pos] = low >> _U(2 * _BITS)
-        pos += small
-        shift = np.where(small, _B, _U(0))
-        low = (low << shift) & _MASK3
-        rng = rng << shift
-        model.update(x, hit1, hit2)
-    for _ in range(3):
-        out[pos] = low >> _U(2 * _BITS)
-        pos += 1
-        low = (low << _B) & _MASK3
-    # carries run from the last word to the first
-    words = out.reshape(lanes, width)
-    used = (pos - base).astype(np.int64)
-    for j in range(int(used.max()), 0, -1):
-        over = words[:, j] >> np.uint32(_BITS)
-        words[:, j] &= np.uint32((1 << _BITS) - 1)
-        words[:, j - 1] += over
-    keep = np.arange(width)[None, :] - 1
-    keep = (keep >= 0) & (keep < used[:, None])
-    words = words[keep]
+        full[i] = small
+        word[i] = low >> _U(2 * _BITS)
+        shift = small * _B
+        low = low << shift & _MASK3
+        rng <<= shift
+        model.update(x, hit, hit0)
+    for i in range(n, n + 3):
+        word[i] = low >> _U(2 * _BITS)
+        low = low << _B & _MASK3
+    # block by block; a step's carry goes to the last word that its block wrote before it, and from there on to earlier ones
+    at = np.flatnonzero(np.ascontiguousarray(full.T))
+    words = np.ascontiguousarray(word.T).reshape(-1)[at]
+    over = np.searchsorted(at, np.flatnonzero(np.ascontiguousarray(carry.T))) - 1
+    while len(over):
+        words += np.bincount(over, minlength=len(words)).astype(np.uint32)
+        over = np.flatnonzero(words >> np.uint32(_BITS))
+        words[over] &= np.uint32((1 << _BITS) - 1)
+        over -= 1
+    return words, full.sum(0)
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """A segment: all ids in blocks of `block`, each with its checksum."""
+    ids = np.ascontiguousarray(ids, np.uint32)
+    n = len(ids)
+    present, freq = frequencies(ids) if n else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+    lanes = -(-n // block)
+    words, used = [], []
+    if n:
+        cum = np.concatenate(([0], np.cumsum(freq))).astype(np.int64)
+        low_of, high_of = (np.zeros(int(present[-1]) + 1, np.int64) for _ in range(2))
+        low_of[present], high_of[present] = cum[:-1], cum[1:]
+        full = np.full(lanes * block, ids[-1], np.int32)
+        full[:n] = ids
+        for i in range(0, lanes, LANES):
+            w, u = _coded(np.ascontiguousarray(full[i * block : (i + LANES) * block].reshape(-1, block).T), low_of, high_of)
+            words.append(w)
+            used.append(u)
+    used = np.concatenate(used).astype(np.uint32) if used else np.zeros(0, np.uint32)
     sums = np.array([zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, n, block)], np.uint32)
-    table = zlib.compress(np.diff(present, prepend=0).astype(np.uint32).tobytes() + freq.tobytes(), 1)
-    return b"".join([head, struct.pack("<II", len(present), len(table)), table, used.astype(np.uint32).tobytes(), sums.tobytes(), _packed(words)])
+    table = zlib.compress(np.diff(present, prepend=0).astype(np.uint32).tobytes() + freq.tobytes() + used.tobytes() + sums.tobytes(), 1)
+    head = MAGIC + struct.pack(_HEAD, n, block, len(present)) + struct.pack("<I", len(table)) + table
+    return head + struct.pack("<I", zlib.crc32(head)) + _packed(np.concatenate(words) if words else np.zeros(0, np.uint32))
 
 
 def _packed(words: np.ndarray) -> bytes:
@@ -147,59 +179,85 @@ def _packed(words: np.ndarray) -> bytes:
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    raw = np.frombuffer(data, np.uint8, -(-n // 2) * 5).reshape(-1, 5)
     full = np.zeros((len(raw), 8), np.uint8)
     full[:, :5] = raw
     both = full.reshape(-1).view("<u8")
-    return np.column_stack((both >> _B, both & _WORD)).reshape(-1)[:n].astype(np.uint32)
+    return np.column_stack((both >> _B, both & _U((1 << _BITS) - 1))).reshape(-1)[:n]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids of a segment; Corrupt if a block's checksum fails."""
-    if data[:5] != MAGIC:
-        raise Corrupt("not a segment of ids")
-    n, block = struct.unpack_from("<QI", data, 5)
-    if not n:
-        return np.zeros(0, np.uint32)
-    n_present, size = struct.unpack_from("<II", data, 17)
-    table = zlib.decompress(data[25 : 25 + size])
-    present = np.cumsum(np.frombuffer(table, np.uint32, n_present)).astype(np.int32)
-    freq = np.frombuffer(table, np.uint32, n_present, 4 * n_present)
-    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.int64)
-    slot = np.repeat(np.arange(n_present, dtype=np.int32), freq)
+def _head(data: bytes) -> tuple:
+    """Ids, size of a block, ids that occur, their frequencies, words and checksum of each block, and where the words begin."""
+    try:
+        n, block, n_present = struct.unpack_from(_HEAD, data, len(MAGIC))
+        at = len(MAGIC) + struct.calcsize(_HEAD)
+        end = at + 4 + struct.unpack_from("<I", data, at)[0]
+        if data[: len(MAGIC)] != MAGIC or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
+            raise Corrupt("the head has not its checksum")
+    except struct.error as e:
+        raise Corrupt("the head is cut off") from e
+    table = np.frombuffer(zlib.decompress(data[at + 4 : end]), np.uint32)
     lanes = -(-n // block)
-    at = 25 + size
-    used = np.frombuffer(data, np.uint32, lanes, at).astype(np.int64)
-    sums = np.frombuffer(data, np.uint32, lanes, at + 4 * lanes)
-    words = np.append(_unpacked(data[at + 8 * lanes :], int(used.sum())), np.zeros(4, np.uint32)).astype(_U)
+    present, freq, used, sums = np.split(table, (n_present, 2 * n_present, 2 * n_present + lanes))
+    return n, block, np.cumsum(present).astype(np.int32), freq, used.astype(np.int64), sums, end + 4
+
+
+def _decoded(words: np.ndarray, used: np.ndarray, block: int, present: np.ndarray, cum: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The ids of some blocks, step by step."""
+    lanes = len(used)
+    words = np.append(words, np.zeros(4, _U))
     pos = np.cumsum(used) - used
     end = pos + used
     code = words[pos] << _U(2 * _BITS) | words[pos + 1] << _B | words[pos + 2]
     pos = pos + 3
     rng = np.full(lanes, _MASK3, _U)
     model = _Model(lanes)
-    out = np.empty((block, lanes), np.uint32)
+    model.ends[4] = 1 << _BITS
+    out = np.empty((block, lanes), np.int32)
+    says = np.empty((4, lanes), np.int32)
+    lows, highs = np.empty((4, lanes), np.int64), np.empty((4, lanes), np.int64)
     for i in range(block):
-        p1, p2, e1, e2 = model.predict()
+        model.predict()
         part = rng >> _B
-        v = np.minimum((code // part).astype(np.int64), (1 << _BITS) - 1)
-        left = (1 << _BITS) - e1
-        t = np.minimum(((np.maximum(v - e1, 0) + 1 << _FREQ) - 1) // left, (1 << _FREQ) - 1)
+        # quotients by way of doubles: never too small, and one too large at most
+        v = (code * _OVER / part).astype(_U)
+        v -= v * part > code
+        v = np.minimum(v.view(np.int64), (1 << _BITS) - 1)
+        left = (1 << _BITS) - model.ends[3]
+        # small enough for doubles to be exact
+        t = np.minimum((((np.maximum(v - model.ends[3], 0) + 1 << _FREQ) - 1) / left).astype(np.int64), (1 << _FREQ) - 1)
         r = slot.take(t)
-        is2, is1 = v < e2, v < e1
-        x = np.where(is2, p2, np.where(is1, p1, present.take(r)))
-        lo = np.where(is2, 0, np.where(is1, e2, e1 + (cum.take(r) * left >> _FREQ)))
-        hi = np.where(is2, e2, np.where(is1, e1, e1 + (cum.take(r + 1) * left >> _FREQ)))
-        code = code - part * lo.astype(_U)
-        rng = part * (hi - lo).astype(_U)
+        says[0], says[1], says[2], says[3] = model.p[1], model.p[0], model.most, present.take(r)
+        lows[:3], highs[:3] = model.ends[:3], model.ends[1:4]
+        np.add(cum.take(r) * left >> _FREQ, model.ends[3], out=lows[3])
+        np.add(cum.take(r + 1) * left >> _FREQ, model.ends[3], out=highs[3])
+        at = ((v >= model.ends[1]).astype(np.intp) + (v >= model.ends[2]) + (v >= model.ends[3])) * lanes + model.lane
+        x, lo, hi = says.take(at), lows.take(at), highs.take(at)
+        code -= part * lo.view(_U)
+        rng = part * (hi - lo).view(_U)
         small = rng < _TOP
-        code = np.where(small, code << _B | words[np.minimum(pos, end)], code)
-        rng = np.where(small, rng << _B, rng)
+        shift = small * _B
+        code = code << shift | words.take(np.minimum(pos, end)) * small
+        rng <<= shift
         pos += small
-        model.update(x, x == p1, x == p2)
+        model.update(x, model.p == x, model.most == x)
         out[i] = x
-    ids = out.T.reshape(-1)[:n]
+    return out
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids of a segment; Corrupt if the head's or a block's checksum fails, or ids are missing."""
+    n, block, present, freq, used, sums, at = _head(data)
+    total = int(used.sum())
+    if len(data) - at < -(-total // 2) * 5:
+        raise Corrupt("the segment is cut off")
+    words = _unpacked(data[at:], total)
+    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.int64)
+    slot = np.repeat(np.arange(len(present), dtype=np.int32), freq)
+    of = np.concatenate(([0], np.cumsum(used)))
+    parts = [_decoded(words[of[i] : of[min(i + LANES, len(used))]], used[i : i + LANES], block, present, cum, slot).T.reshape(-1) for i in range(0, len(used), LANES)]
+    ids = np.concatenate(parts)[:n].astype(np.uint32) if parts else np.zeros(0, np.uint32)
     for i, want in enumerate(sums.tolist()):
-        if zlib.crc32(np.ascontiguousarray(ids[i * block : (i + 1) * block]).tobytes()) != want:
+        if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != want:
             raise Corrupt(f"block {i} has not its checksum")
     return ids

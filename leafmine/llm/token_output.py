@@ -1,10 +1,11 @@
 """Token-ID output: whole texts as ids of a public tokenizer, written in order of doc_id as compressed segments.
 
-A part is a range of doc_ids that one task tokenizes and codes; its segments hold whole documents, so
+A part is a range of documents that one task tokenizes and codes; its segments hold whole documents, so
 each row of the written table is a unit of its own: which documents, how many ids each, how many ids of
 the part come before, and the coded ids (see range_coder).
 """
 
+import json
 import os
 import sys
 import types
@@ -12,8 +13,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,72 +24,212 @@ from leafmine.llm import textops as T
 END_ID = 2
 #: Ids after which a segment ends with the document at hand.
 SEGMENT_IDS = range_coder.BLOCK * 4096
-#: Words whose ids a worker remembers.
-WORDS_KEPT = 1_500_000
+#: Pieces whose ids a worker remembers.
+WORDS_KEPT = 2_500_000
 SEGMENT = "part int, segment int, ids_before long, doc_ids array<long>, n_tokens array<int>, payload binary"
 
 
-class _Vocabulary:
-    """Ids of words. The tokenizer lower-cases and splits at white space and never joins across it, so the
-    ids of a text are those of its words in a row."""
+class _Plain:
+    """Ids of whole texts from any tokenizer, one text at a time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.hasher = T.Hasher(seed=9)
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
-
-    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.searchsorted(self.keys, h)
-        return i, (self.keys[np.minimum(i, len(self.keys) - 1)] == h) if len(self.keys) else np.zeros(len(h), bool)
-
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate((self.ids, np.fromiter((x for e in got for x in e), np.uint16, int(n.sum()))))
-        to = np.searchsorted(self.keys, h)
-        self.keys, self.at, self.n = np.insert(self.keys, to, h), np.insert(self.at, to, at), np.insert(self.n, to, n)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, each with the end id, and how many each text has."""
+        raw = data.tobytes()
+        got = [[*self.ids_of(raw[a:b].decode("utf-8", "replace")), END_ID] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((x for ids in got for x in ids), self.kind, int(n.sum())), n
+
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# How a tokenizer must normalise and split texts for _Pieces.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _kinds() -> np.ndarray:
+    """Of each byte: 1 a letter, 2 a digit, 3 another printable sign, 0 a sign whose piece the tokenizer must find itself."""
+    out = np.zeros(256, np.uint8)
+    out[0x21:0x7F] = 3
+    for low, high, kind in ((0x30, 0x3A, 2), (0x41, 0x5B, 1), (0x61, 0x7B, 1)):
+        out[low:high] = kind
+    out[ord("'")] = 0  # begins a piece of its own before some letters
+    return out
+
+
+class _Pieces(_Plain):
+    """Ids of texts from those of their pieces, for tokenizers that lower-case, drop white space and never join across
+    it (see applies()). Pieces are runs of Latin letters, single digits, and runs of other ASCII signs; a word
+    with anything else (or with what could be a special token) is a piece as a whole. Each worker encodes a piece
+    once and finds its ids by a hash again."""
+
+    BITS = 22
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.hasher, self.kinds = T.Hasher(lower=True, seed=9), _kinds()
+        # a token that ends a piece is spelt with the suffix
+        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.last[i] = token.endswith("</w>")
+        self.clear()
+
+    @staticmethod
+    def applies(path: str) -> bool:
+        """Whether the tokenizer's own file says that it works on pieces, and lower-cased ones."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normal, split, model = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}, spec["model"]
+        steps = [x["type"] for x in normal.get("normalizers", [])]
+        parts = split.get("pretokenizers", [])
+        fits = steps == _NORMALIZER and normal["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and normal["normalizers"][1]["content"] == " "
+        fits = fits and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": _SPLIT} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+        fits = fits and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"] and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        return bool(fits) and all("<|" in x["content"] and not x["normalized"] and not x["lstrip"] and not x["rstrip"] for x in spec["added_tokens"])
+
+    def clear(self) -> None:
+        self.keys, self.place = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
+        self.at, self.n = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.zeros(0, self.kind)
+        self.known = 1
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of pieces by their hashes; 0 where one is not known. Eight slots from a hash's own hold it."""
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = np.where(self.keys[slot] == h, self.place[slot], 0)
+        todo = np.flatnonzero((out == 0) & (self.keys[slot] != 0))
+        for step in range(1, 8):
+            s = slot[todo] + step & (1 << self.BITS) - 1
+            k = self.keys[s]
+            same = k == h[todo]
+            out[todo[same]] = self.place[s[same]]
+            todo = todo[~same & (k != 0)]
+            if not len(todo):
+                break
+        return out
+
+    def _keep(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Enter new hashes; one whose slots are all taken is not kept, and so encoded again where it recurs."""
+        for step in range(8):
+            s = (h >> np.uint64(64 - self.BITS)).astype(np.int64) + step & (1 << self.BITS) - 1
+            free = np.flatnonzero(self.keys[s] == 0)
+            s, first = np.unique(s[free], return_index=True)
+            done = free[first]
+            self.keys[s], self.place[s] = h[done], number[done]
+            rest = np.ones(len(h), bool)
+            rest[done] = False
+            h, number = h[rest], number[rest]
+            if not len(h):
+                break
+
+    def _learn(self, single: list[str], whole: list[str]) -> None:
+        """Ids of pieces that are one for the tokenizer, too, and of words whose pieces only it can tell."""
+        got = [np.array(self.ids_of(" ".join(single[i : i + 500])), self.kind) for i in range(0, len(single), 500)]
+        ids = np.concatenate(got) if got else np.zeros(0, self.kind)
+        end = np.flatnonzero(self.last[ids]) + 1
+        if len(end) != len(single):
+            raise ValueError("the tokenizer does not end each piece")
+        more = [self.ids_of(w) for w in whole]
+        n = np.concatenate((np.diff(end, prepend=0), np.fromiter(map(len, more), np.int64, len(more))))
+        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
+        self.n = np.concatenate((self.n, n))
+        self.ids = np.concatenate((self.ids, ids, np.fromiter((x for w in more for x in w), self.kind, sum(map(len, more)))))
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        """Start and end of each piece, the first piece of each text, and which pieces are whole words."""
         start, end, first = T.words(data, offsets)
-        h = self.hasher.spans(self.hasher.sums(data), start, end)
-        keys, where, back = np.unique(h, return_index=True, return_inverse=True)
-        _, known = self._find(keys)
-        new = np.flatnonzero(~known)
+        kind = self.kinds[data]
+        two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7))  # Latin-1's letters
+        kind[two] = kind[two + 1] = 1
+        odd = (kind == 0) & ~T.SPACE[data]
+        bar = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        odd[bar] = True
+        number = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(odd, out=number[1:])
+        whole = number[end] > number[start]
+        # inside the other words, a piece begins where the kind changes, and at each digit
+        edge = np.zeros(len(data), bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[start[~whole]] = 1
+        inside[end[~whole]] -= 1
+        edge &= np.cumsum(inside[:-1], dtype=np.int8) > 0
+        edge[start] = True
+        at = np.flatnonzero(edge)
+        word = np.cumsum(np.isin(at, start, assume_unique=True)) - 1
+        stop = np.minimum(np.append(at[1:], len(data)), end[word])
+        return at, stop, np.searchsorted(at, offsets), whole[word]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(offsets) == 2 and len(data) > 2 * T.SLICE_BYTES:
+            return self._long(data)
+        start, end, first, whole = self._cut(data, offsets)
+        h = self.hasher.spans(self.hasher.sums(data), start, end) | np.uint64(1)
+        # upper and lower case count in special tokens, so words that may hold one are never remembered
+        special = np.flatnonzero(whole)
+        special = special[[b"<|" in data[a:b].tobytes() for a, b in zip(start[special].tolist(), end[special].tolist(), strict=True)]] if (data == ord("|")).any() else special[:0]
+        number = self._find(h)
+        number[special] = 0
+        new = np.flatnonzero(number == 0)
         if len(new):
-            if len(self.keys) + len(new) > WORDS_KEPT:  # forget all and begin anew
-                self.keys, self.at, self.n, self.ids = self.keys[:0], self.at[:0], self.n[:0], self.ids[:0]
-                new = np.arange(len(keys))
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
-        i, _ = self._find(keys)
-        at, n = self.at[i][back], self.n[i][back]
-        # the end id as one more word of each text
+            if self.known + len(new) > WORDS_KEPT:  # forget all and begin anew
+                self.clear()
+                number = self._find(h)
+                new = np.arange(len(h))
+            h[special] = np.uint64(2) * np.arange(len(special), dtype=np.uint64)  # one by one, and even
+            keys, where, back = np.unique(h[new], return_index=True, return_inverse=True)
+            where = new[where]
+            order = np.argsort(whole[where], kind="stable")  # single pieces first
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order)) + self.known
+            raw, of, n = data.tobytes(), where[order], int((~whole[where]).sum())
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[of].tolist(), end[of].tolist(), strict=True)]
+            self._learn(texts[:n], texts[n:])
+            self.known += len(keys)
+            number[new] = rank[back]
+            kept = (keys & np.uint64(1)).astype(bool)
+            self._keep(keys[kept], rank[kept])
+        at, n = self.at[number], self.n[number]
+        # the end id as one more piece of each text
         at, n = np.insert(at, first[1:], -1), np.insert(n, first[1:], 1)
         first = first + np.arange(len(first))
-        ids = np.append(self.ids, np.uint16(END_ID))[T.ranges(at, at + n)]
         total = np.concatenate(([0], np.cumsum(n)))
-        return ids, np.diff(total[first])
+        return np.append(self.ids, self.kind(END_ID))[T.ranges(at, at + n)], np.diff(total[first])
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A long text in slices that end before white space, so that memory doesn't follow its length."""
+        got, lo = [], 0
+        while lo < len(data):
+            hi = min(lo + T.SLICE_BYTES, len(data))
+            if hi < len(data):
+                space = np.flatnonzero(T.SPACE[data[hi:]])[:1] if not T.SPACE[data[lo + 1 : hi]].any() else np.flatnonzero(T.SPACE[data[lo + 1 : hi]])[-1:] + lo + 1 - hi
+                hi = hi + int(space[0]) if len(space) else len(data)
+            got.append(self.encode(data[lo:hi], np.array([0, hi - lo]))[0][:-1])
+            lo = hi
+        got.append(np.array([END_ID], self.kind))
+        return np.concatenate(got), np.array([sum(map(len, got))])
 
 
-def _vocabulary(path: str) -> _Vocabulary:
+def _vocabulary(path: str) -> _Plain:
     """One for each worker process, kept between tasks."""
     kept = sys.modules.setdefault("_leafmine_worker", types.ModuleType("_leafmine_worker")).__dict__
     if path not in kept:
-        kept[path] = _Vocabulary(path)
+        kept[path] = _Pieces(path) if _Pieces.applies(path) else _Plain(path)
     return kept[path]
 
 
 def _written(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(tokenizer)
-        part, segment, before = 0, 0, 0
+        part, segment, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, sizes, held, total = [], [], [], 0
 
         def made() -> pa.RecordBatch:
@@ -99,9 +240,7 @@ def _written(tokenizer: str):
             )
 
         for batch in batches:
-            parts, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("part", "doc_id"))
-            if len(parts):
-                part = parts[0].as_py()
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
             for lo, hi, data, offsets in T.rows(batch):
                 got, n = vocabulary.encode(data, offsets)
                 doc_ids += ids.slice(lo, hi - lo).to_pylist()
@@ -120,16 +259,15 @@ def _written(tokenizer: str):
 
 def write(docs: DataFrame, path: str, tokenizer: str, parts: int | None = None) -> None:
     """Write docs (doc_id, text) as segments under path, in ascending order of doc_id (null first), of equal
-    ids by text. Null text is empty and has the end id only; rows that repeat stay; other columns are ignored."""
+    ids by a hash of the text. Null text is empty and has the end id only; rows that repeat stay; other columns are ignored.
+
+    A part is a range of that order, so an id (or null) that many rows share is dealt to several parts."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    shares = [i / parts for i in range(1, parts)]
-    cuts = docs.select(F.percentile_approx("key", shares, 20 * parts)).first()[0] if shares else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
-    part = F.pandas_udf(lambda k: pd.Series(np.searchsorted(cuts, k.to_numpy()).astype(np.int32)), "int")
-    dealt = docs.withColumn("part", part("key")).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("key", "text")
-    dealt.select("part", "doc_id", "text").mapInArrow(_written(tokenizer), SEGMENT).write.parquet(path)
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    dealt = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(_written(tokenizer), SEGMENT).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -238,9 +238,18 @@ def test_range_coder(n):
     if n > 1000:
         assert len(range_coder.encode((np.arange(n) % 7).astype(np.uint32))) < n / 3
         bad = bytearray(range_coder.encode(rng.integers(0, 49408, n).astype(np.uint32)))
-        bad[-n] ^= 64  # among the coded words of the first blocks
+        bad[-n] ^= 64  # among the coded words
         with pytest.raises(range_coder.Corrupt):
             range_coder.decode(bytes(bad))
+        good = range_coder.encode(rng.integers(0, 49408, n).astype(np.uint32))
+        for at in (2, 8, 30, 200):  # the head has a checksum, too
+            bad = bytearray(good)
+            bad[at] ^= 1
+            with pytest.raises(range_coder.Corrupt):
+                range_coder.decode(bytes(bad))
+        for size in (0, 3, 20, 100, len(good) - 5):
+            with pytest.raises(range_coder.Corrupt):
+                range_coder.decode(good[:size])
 
 
 def test_token_output(spark, docs, rows, none):
@@ -252,18 +261,42 @@ def test_token_output(spark, docs, rows, none):
     token_output.write(docs, f"{out}/a", path, 3)
     files = spark.read.schema(token_output.SEGMENT).parquet(f"{out}/a")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    want, at = [], 0
-    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = np.array(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
-        want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    assert sorted((tuple(r) for r in token_output.read(files).collect()), key=lambda r: r[1]) == want
+    coded = lambda r: np.array(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
+    want = sorted(((r[0], len(ids := coded(r)), zlib.crc32(ids.tobytes())) for r in rows), key=repr)
+    got = sorted((tuple(r) for r in token_output.read(files).collect()), key=lambda r: r[1])
+    assert sorted(((r[0], *r[2:]) for r in got), key=repr) == want
+    keys = [(r[0] is not None, r[0] or 0) for r in got]
+    at = 0
+    for r in got:
+        assert r[1] == at
+        at += r[2]
+    assert keys == sorted(keys)
     assert sum(len(r.ids) for r in token_output.ids_of(files).collect()) == at
     token_output.write(none, f"{out}/b", path, 3)
     assert not token_output.read(spark.read.schema(token_output.SEGMENT).parquet(f"{out}/b")).count()
 
 
+def test_pieces_are_what_the_tokenizer_says():
+    """Special strings, contractions, accents, composed and other letters, odd white space, digits, and a long text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    fast, plain = token_output._Pieces(path), token_output._Plain(path)
+    assert fast.applies(path) and not fast.applies(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "x<|ENDOFTEXT|>y <|endoftext|>z<|startoftext|>", "it's it'S I'll 'tis ''s !!'s ", "e\u0301 \u00e9 E \u00c9 \u00c0\u00c9 \u00df \u00d7 a\u00d7b", "\u0661\u0662 x\u00a0y \x85 \x00 \x1c", "12ab34.5%%%|<|", "<|", "\u017f \u212a \u212b \u0130 \u03a3", "a\u0300b \u3000x", "", " \n", "\u65e5\u672c x1\u65e5", "'re're'", "\ufffd\u200b"]
+    rng = np.random.default_rng(2)
+    alphabet = [*"abzAZ019 .,!<|>'\t\n", "\u00e9", "\u00d7", "\u0301", "\u00a0", "\u4e00", "endoftext|>"]
+    texts += ["".join(rng.choice(alphabet, 60)) for _ in range(400)]
+    texts.append(" ".join(f"word{i} <|endoftext|>" for i in range(150_000)))
+    for _ in range(2):  # once new, once remembered
+        for x in (texts[:-1], texts[-1:]):
+            data = [t.encode() for t in x]
+            flat, at = np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data])))
+            ids, n = fast.encode(flat, at)
+            ids2, n2 = plain.encode(flat, at)
+            assert n.tolist() == n2.tolist() and ids.tolist() == ids2.tolist()
+
+
 def test_mix(docs, rows, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and sum(r.size for r in got) == sum(len(WORD.findall(r[1] or "")) for r in rows)
