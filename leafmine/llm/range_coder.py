@@ -17,10 +17,10 @@ import numpy as np
 BLOCK = 1024
 MAGIC = b"IDMX\x02"
 #: Blocks that are coded side by side at most: their tables stay near the processor.
-LANES = 4096
+LANES = 2048
 _BITS = 20  # of a coder step, and of the words written
 _FREQ = 17  # of the total of the frequencies in the head
-_SLOTS = 9  # bits of an order-1 or order-2 table's size
+_ROWS = 8  # bits of the number of rows of a block's table of entries
 _SHARE = 13 << _BITS - 4  # of the range, at most, for all predictions
 _KEEP, _SURE = 10, 40  # the order-0 candidate: what a hit adds, and the most it can have
 _U = np.uint64
@@ -47,53 +47,59 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """The state of blocks (lanes) that are coded side by side. Row 0 of two is order 1, row 1 order 2."""
+    """The state of blocks (lanes) that are coded side by side. Row 0 of two is order 1, row 1 order 2.
+
+    The entries of one last id lie side by side: one of order 1, three of order 2."""
 
     def __init__(self, lanes: int):
         at = np.arange(lanes, dtype=np.intp)
-        self.lanes, self.lane = lanes, at
-        self.base = np.stack((2 * at, 2 * at + 1)) << _SLOTS
+        self.lane, self.base = at, at << _ROWS + 2
         # an entry is its id, and in the last two bits how sure it is
-        self.last = np.zeros(2 * lanes << _SLOTS, np.int32)
-        # 32 contexts: sureness of both, agreement; trust in order 2 and in order 1, 16 bits each
-        self.trust = np.full(32 * lanes, 1 << 29 | 1 << 13, np.uint32)
-        self.lane32 = at * 32
+        self.last = np.zeros(lanes << _ROWS + 2, np.int32)
+        # trust in what an order says, by how sure it is, for order 1 also by whether order 2 says the same
+        self.trust = np.full(16 * lanes, 1 << 13, np.int32)
+        self.context = np.stack((at * 16, at * 16 + 8))
         self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.most, self.held, self.t0 = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), np.full(lanes, 1 << 11, np.int32)
-        self.slot = np.empty((2, lanes), np.intp)
-        self.ends = np.zeros((5, lanes), np.int64)  # of order 2, 1 and 0; the interval of an id that none of them says
+        self.most, self.held = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.slot, self.cell = np.empty((2, lanes), np.intp), np.empty((2, lanes), np.intp)
+        self.ends = np.zeros((4, lanes), np.int64)  # 0, and of the intervals of order 2, 1 and 0
 
     def predict(self) -> None:
         """Predicted ids (p: orders 1 and 2; most: order 0), and the ends of their intervals of the coder's range."""
-        h = self.b * np.uint32(0x9E3779B1)
-        np.add(self.base[0], h >> np.uint32(32 - _SLOTS), out=self.slot[0])
-        h += self.a * np.uint32(0x85EBCA77)
-        np.add(self.base[1], h >> np.uint32(32 - _SLOTS), out=self.slot[1])
+        np.add(self.base, self.b * np.uint32(0x9E3779B1) >> np.uint32(32 - _ROWS) << np.uint32(2), out=self.slot[0])
+        np.add(self.slot[0], np.maximum(self.a * np.uint32(0x85EBCA77) >> np.uint32(30), 1), out=self.slot[1])
         self.v = self.last.take(self.slot)
         self.p, self.sure = self.v >> 2, self.v & 3
-        self.k = self.lane32 + (self.sure[1] << 3 | self.sure[0] << 1 | (self.p[0] == self.p[1]))
-        trust = self.trust.take(self.k)
-        self.t2, self.t1 = (trust >> np.uint32(16)).astype(np.int64), (trust & np.uint32(0xFFFF)).astype(np.int64)
+        same = self.p[0] == self.p[1]
+        np.add(self.context, self.sure, out=self.cell)
+        self.cell[0] += same.view(np.uint8) << 2
+        self.t = self.trust.take(self.cell)
         e2, e1, e0 = self.ends[1], self.ends[2], self.ends[3]
-        np.add(self.t2 * (_SHARE >> 16), 1, out=e2)
-        np.add(e2, (self.t1 * (_SHARE - e2) >> 16) + 1, out=e1)
-        np.add(e1, (self.t0 * (_SHARE - e1) >> 16) + 3, out=e0)
+        np.multiply(self.t[1], _SHARE >> 16, out=e2)
+        e2 += 1
+        np.subtract(_SHARE, e2, out=e1)
+        e1 *= self.t[0]
+        e1 *= ~same
+        e1 >>= 16
+        e1 += e2
+        e1 += 1
+        np.subtract(_SHARE, e1, out=e0)
+        e0 *= self.held
+        e0 >>= 9
+        e0 += e1
+        e0 += 3
 
     def update(self, x: np.ndarray, hit: np.ndarray, hit0: np.ndarray) -> None:
         """x: the ids; hit: where order 1 and order 2 said so; hit0: where order 0 did."""
-        # order 1 is asked where order 2 was wrong
-        t1 = self.t1 + np.where(hit[1], 0, hit[0] * 65535 - self.t1 >> 4)
-        t2 = self.t2 + (hit[1] * 65535 - self.t2 >> 4)
-        self.trust[self.k] = t2 << 16 | t1
+        self.trust[self.cell] = self.t + (hit * np.int32(65535) - self.t >> 4)
         # right: surer; wrong: less sure by two, or replaced
         self.last[self.slot] = np.where(hit, self.v + (self.sure < 3), np.where(self.sure > 1, self.v - 2, x << 2))
-        self.t0 += hit0 * 65535 - self.t0 >> 7
-        self.held += hit0 * (_KEEP + 1) - 1
+        self.held += hit0 * np.int32(_KEEP + 1) - 1
         np.minimum(self.held, _SURE, out=self.held)
         gone = self.held < 0
         np.copyto(self.most, x, where=gone)
         np.copyto(self.held, _KEEP, where=gone)
-        self.a, self.b = self.b, x.astype(np.uint32)
+        self.a, self.b = self.b, x.view(np.uint32)
 
 
 def _case(hit: np.ndarray, hit0: np.ndarray) -> np.ndarray:
@@ -104,22 +110,27 @@ def _case(hit: np.ndarray, hit0: np.ndarray) -> np.ndarray:
 
 
 def _coded(steps: np.ndarray, low_of: np.ndarray, high_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 20-bit words of some blocks, one after another, and how many each has. steps: id of each block, step by step."""
+    """The 20-bit words of some blocks, one after another, and how many each has. steps: id of each block, step by step; low_of, high_of: ends of the ids' intervals."""
     n, lanes = steps.shape
     model = _Model(lanes)
     low, rng = np.zeros(lanes, _U), np.full(lanes, _MASK3, _U)
     # of each step: its word, whether it is written, and what the step carries into the words before
     word, full, carry = np.empty((n + 3, lanes), np.uint32), np.ones((n + 3, lanes), bool), np.zeros((n + 3, lanes), np.uint8)
-    lows, highs = np.empty((4, lanes), np.int64), np.empty((4, lanes), np.int64)
+    ends = np.empty((5, lanes), np.int64)
     for i, x in enumerate(steps):
         model.predict()
         hit, hit0 = model.p == x, model.most == x
-        lows[:3], highs[:3] = model.ends[:3], model.ends[1:4]
-        left = (1 << _BITS) - model.ends[3]
-        np.add(low_of.take(x) * left >> _FREQ, model.ends[3], out=lows[3])
-        np.add(high_of.take(x) * left >> _FREQ, model.ends[3], out=highs[3])
-        at = _case(hit, hit0) * lanes + model.lane
-        lo, hi = lows.take(at), highs.take(at)
+        ends[:4] = model.ends
+        case = _case(hit, hit0)
+        at = case * lanes
+        at += model.lane
+        # an id that no order says
+        e0 = model.ends[3]
+        left = (1 << _BITS) - e0
+        np.add(high_of.take(x) * left >> _FREQ, e0, out=ends[4])
+        lo = np.where(case == 3, (low_of.take(x) * left >> _FREQ) + e0, ends.take(at))
+        at += lanes
+        hi = ends.take(at)
         part = rng >> _B
         low += part * lo.view(_U)
         rng = part * (hi - lo).view(_U)
@@ -155,8 +166,8 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     lanes = -(-n // block)
     words, used = [], []
     if n:
-        cum = np.concatenate(([0], np.cumsum(freq))).astype(np.int64)
-        low_of, high_of = (np.zeros(int(present[-1]) + 1, np.int64) for _ in range(2))
+        cum = np.concatenate(([0], np.cumsum(freq))).astype(np.int32)
+        low_of, high_of = (np.zeros(int(present[-1]) + 1, np.int32) for _ in range(2))
         low_of[present], high_of[present] = cum[:-1], cum[1:]
         full = np.full(lanes * block, ids[-1], np.int32)
         full[:n] = ids
@@ -183,7 +194,7 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     full = np.zeros((len(raw), 8), np.uint8)
     full[:, :5] = raw
     both = full.reshape(-1).view("<u8")
-    return np.column_stack((both >> _B, both & _U((1 << _BITS) - 1))).reshape(-1)[:n]
+    return np.column_stack((both >> _B, both & _U((1 << _BITS) - 1))).astype(np.uint32).reshape(-1)[:n]
 
 
 def _head(data: bytes) -> tuple:
@@ -202,20 +213,18 @@ def _head(data: bytes) -> tuple:
     return n, block, np.cumsum(present).astype(np.int32), freq, used.astype(np.int64), sums, end + 4
 
 
-def _decoded(words: np.ndarray, used: np.ndarray, block: int, present: np.ndarray, cum: np.ndarray, slot: np.ndarray) -> np.ndarray:
+def _decoded(words: np.ndarray, used: np.ndarray, block: int, present: np.ndarray, low_of: np.ndarray, high_of: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """The ids of some blocks, step by step."""
     lanes = len(used)
-    words = np.append(words, np.zeros(4, _U))
+    words = np.append(words, np.zeros(4, words.dtype))
     pos = np.cumsum(used) - used
     end = pos + used
-    code = words[pos] << _U(2 * _BITS) | words[pos + 1] << _B | words[pos + 2]
+    code = words[pos].astype(_U) << _U(2 * _BITS) | words[pos + 1].astype(_U) << _B | words[pos + 2]
     pos = pos + 3
     rng = np.full(lanes, _MASK3, _U)
     model = _Model(lanes)
-    model.ends[4] = 1 << _BITS
     out = np.empty((block, lanes), np.int32)
-    says = np.empty((4, lanes), np.int32)
-    lows, highs = np.empty((4, lanes), np.int64), np.empty((4, lanes), np.int64)
+    says, ends = np.empty((4, lanes), np.int32), np.empty((5, lanes), np.int64)
     for i in range(block):
         model.predict()
         part = rng >> _B
@@ -223,21 +232,26 @@ def _decoded(words: np.ndarray, used: np.ndarray, block: int, present: np.ndarra
         v = (code * _OVER / part).astype(_U)
         v -= v * part > code
         v = np.minimum(v.view(np.int64), (1 << _BITS) - 1)
-        left = (1 << _BITS) - model.ends[3]
+        e0 = model.ends[3]
+        left = (1 << _BITS) - e0
         # small enough for doubles to be exact
-        t = np.minimum((((np.maximum(v - model.ends[3], 0) + 1 << _FREQ) - 1) / left).astype(np.int64), (1 << _FREQ) - 1)
+        t = np.minimum((((np.maximum(v - e0, 0) + 1 << _FREQ) - 1) / left).astype(np.int64), (1 << _FREQ) - 1)
         r = slot.take(t)
         says[0], says[1], says[2], says[3] = model.p[1], model.p[0], model.most, present.take(r)
-        lows[:3], highs[:3] = model.ends[:3], model.ends[1:4]
-        np.add(cum.take(r) * left >> _FREQ, model.ends[3], out=lows[3])
-        np.add(cum.take(r + 1) * left >> _FREQ, model.ends[3], out=highs[3])
-        at = ((v >= model.ends[1]).astype(np.intp) + (v >= model.ends[2]) + (v >= model.ends[3])) * lanes + model.lane
-        x, lo, hi = says.take(at), lows.take(at), highs.take(at)
+        ends[:4] = model.ends
+        np.add(high_of.take(r) * left >> _FREQ, e0, out=ends[4])
+        case = (v >= ends[1]).astype(np.intp) + (v >= ends[2]) + (v >= e0)
+        at = case * lanes
+        at += model.lane
+        x = says.take(at)
+        lo = np.where(case == 3, (low_of.take(r) * left >> _FREQ) + e0, ends.take(at))
+        at += lanes
+        hi = ends.take(at)
         code -= part * lo.view(_U)
         rng = part * (hi - lo).view(_U)
         small = rng < _TOP
         shift = small * _B
-        code = code << shift | words.take(np.minimum(pos, end)) * small
+        code = code << shift | words.take(np.minimum(pos, end, out=at)) * small
         rng <<= shift
         pos += small
         model.update(x, model.p == x, model.most == x)
@@ -252,10 +266,10 @@ def decode(data: bytes) -> np.ndarray:
     if len(data) - at < -(-total // 2) * 5:
         raise Corrupt("the segment is cut off")
     words = _unpacked(data[at:], total)
-    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.int64)
-    slot = np.repeat(np.arange(len(present), dtype=np.int32), freq)
-    of = np.concatenate(([0], np.cumsum(used)))
-    parts = [_decoded(words[of[i] : of[min(i + LANES, len(used))]], used[i : i + LANES], block, present, cum, slot).T.reshape(-1) for i in range(0, len(used), LANES)]
+    cum = np.concatenate(([0], np.cumsum(freq))).astype(np.int32)
+    slot = np.repeat(np.arange(len(present), dtype=np.uint16 if len(present) <= 1 << 16 else np.uint32), freq)
+    first = np.concatenate(([0], np.cumsum(used)))
+    parts = [_decoded(words[first[i] : first[min(i + LANES, len(used))]], used[i : i + LANES], block, present, cum[:-1], cum[1:], slot).T.reshape(-1) for i in range(0, len(used), LANES)]
     ids = np.concatenate(parts)[:n].astype(np.uint32) if parts else np.zeros(0, np.uint32)
     for i, want in enumerate(sums.tolist()):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != want:

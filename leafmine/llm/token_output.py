@@ -65,6 +65,12 @@ def _kinds() -> np.ndarray:
     return out
 
 
+def _signs() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the signs from 256 on, in order."""
+    other = (b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))
+    return {b: 256 + i for i, b in enumerate(other)}
+
+
 class _Pieces(_Plain):
     """Ids of texts from those of their pieces, for tokenizers that lower-case, drop white space and never join across
     it (see applies()). Pieces are runs of Latin letters, single digits, and runs of other ASCII signs; a word
@@ -75,11 +81,7 @@ class _Pieces(_Plain):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.hasher, self.kinds = T.Hasher(lower=True, seed=9), _kinds()
-        # a token that ends a piece is spelt with the suffix
-        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.last[i] = token.endswith("</w>")
+        self.hasher, self.kinds, self.signs = T.Hasher(lower=True, seed=9), _kinds(), _signs()
         self.clear()
 
     @staticmethod
@@ -132,41 +134,42 @@ class _Pieces(_Plain):
 
     def _learn(self, single: list[str], whole: list[str]) -> None:
         """Ids of pieces that are one for the tokenizer, too, and of words whose pieces only it can tell."""
-        got = [np.array(self.ids_of(" ".join(single[i : i + 500])), self.kind) for i in range(0, len(single), 500)]
-        ids = np.concatenate(got) if got else np.zeros(0, self.kind)
-        end = np.flatnonzero(self.last[ids]) + 1
-        if len(end) != len(single):
-            raise ValueError("the tokenizer does not end each piece")
-        more = [self.ids_of(w) for w in whole]
-        n = np.concatenate((np.diff(end, prepend=0), np.fromiter(map(len, more), np.int64, len(more))))
+        model = self.tokenizer.model
+        # what the model itself reads: lower-cased, and each byte as its sign
+        got = [[t.id for t in model.tokenize(w.lower().encode().decode("latin-1").translate(self.signs))] for w in single]
+        got += [self.ids_of(w) for w in whole]
+        n = np.fromiter(map(len, got), np.int64, len(got))
         self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
         self.n = np.concatenate((self.n, n))
-        self.ids = np.concatenate((self.ids, ids, np.fromiter((x for w in more for x in w), self.kind, sum(map(len, more)))))
+        self.ids = np.concatenate((self.ids, np.fromiter((x for w in got for x in w), self.kind, int(n.sum()))))
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
         """Start and end of each piece, the first piece of each text, and which pieces are whole words."""
-        start, end, first = T.words(data, offsets)
+        start, end, _ = T.words(data, offsets)
         kind = self.kinds[data]
-        two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7))  # Latin-1's letters
-        kind[two] = kind[two + 1] = 1
-        odd = (kind == 0) & ~T.SPACE[data]
-        bar = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
-        odd[bar] = True
-        number = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(odd, out=number[1:])
-        whole = number[end] > number[start]
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # of Latin-1's letters
+        lead = lead[(data[lead + 1] >= 0x80) & (data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        bar = np.flatnonzero(data == ord("|"))
+        bar = bar[(bar > 0) & (data[bar - 1] == ord("<"))]
+        odd = np.concatenate((np.flatnonzero((kind == 0) & ~T.SPACE[data]), bar))
+        whole = np.unique(np.searchsorted(start, odd, "right") - 1)
         # inside the other words, a piece begins where the kind changes, and at each digit
-        edge = np.zeros(len(data), bool)
-        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-        inside = np.zeros(len(data) + 1, np.int8)
-        inside[start[~whole]] = 1
-        inside[end[~whole]] -= 1
-        edge &= np.cumsum(inside[:-1], dtype=np.int8) > 0
+        cut = np.zeros(len(data) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:-1])
+        cut[1:-1] |= kind[1:] == 2
+        cut[1:-1] &= (kind[1:] != 0) & (kind[:-1] != 0)
+        for i in whole.tolist():
+            cut[start[i] : end[i]] = False
+        cut[start] = False
+        edge = cut[:-1].copy()
         edge[start] = True
         at = np.flatnonzero(edge)
-        word = np.cumsum(np.isin(at, start, assume_unique=True)) - 1
-        stop = np.minimum(np.append(at[1:], len(data)), end[word])
-        return at, stop, np.searchsorted(at, offsets), whole[word]
+        stop = np.append(at[1:], len(data))
+        stop[np.append(~cut[at[1:]], True)[: len(at)]] = end  # the last pieces of words
+        alone = np.zeros(len(at), bool)
+        alone[np.searchsorted(at, start[whole])] = True
+        return at, stop, np.searchsorted(at, offsets), alone
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(offsets) == 2 and len(data) > 2 * T.SLICE_BYTES:
@@ -175,7 +178,7 @@ class _Pieces(_Plain):
         h = self.hasher.spans(self.hasher.sums(data), start, end) | np.uint64(1)
         # upper and lower case count in special tokens, so words that may hold one are never remembered
         special = np.flatnonzero(whole)
-        special = special[[b"<|" in data[a:b].tobytes() for a, b in zip(start[special].tolist(), end[special].tolist(), strict=True)]] if (data == ord("|")).any() else special[:0]
+        special = special[[b"<|" in data[a:b].tobytes() for a, b in zip(start[special].tolist(), end[special].tolist(), strict=True)]] if len(special) else special
         number = self._find(h)
         number[special] = 0
         new = np.flatnonzero(number == 0)
