@@ -41,6 +41,11 @@ def word_pages(blocks: DataFrame) -> DataFrame:
     return lines.groupBy("tender", "file").agg(text.alias("text")).select("tender", "file", F.lit(0).alias("page"), "text")
 
 
+def is_boilerplate(hits: Column, pages: Column) -> Column:
+    """PG6: two of a file's first three pages name the standing conditions, or one in a file of 50 or more."""
+    return (hits >= 2) | ((hits >= 1) & (pages >= 50))
+
+
 def boilerplate_flags(pages: DataFrame) -> DataFrame:
     """PG6: tender, file, boilerplate: two of a file's first three pages name the standing conditions, or one in a file of 50
     or more. Page texts aren't shuffled: only numbers and hits are."""
@@ -48,7 +53,7 @@ def boilerplate_flags(pages: DataFrame) -> DataFrame:
     order = Window.partitionBy("tender", "file").orderBy("page")
     first = hits.withColumn("r", F.row_number().over(order))
     flags = first.groupBy("tender", "file").agg(F.count("*").alias("n"), F.count_if(F.col("hit") & (F.col("r") <= 3)).alias("found"))
-    return flags.select("tender", "file", ((F.col("found") >= 2) | ((F.col("found") >= 1) & (F.col("n") >= 50))).alias("boilerplate"))
+    return flags.select("tender", "file", is_boilerplate(F.col("found"), F.col("n")).alias("boilerplate"))
 
 
 def mark_boilerplate(pages: DataFrame) -> DataFrame:
@@ -69,14 +74,11 @@ def read_order(pages: DataFrame, priorities: list = R.PRIORITIES) -> DataFrame:
 
 def file_blocks(pages: DataFrame, priorities: list = R.PRIORITIES) -> DataFrame:
     """PG8: tender, file, text (pages joined by LF), starts (offset, page, ocr of each), prio."""
-    got = pages.groupBy("tender", "file").agg(_in_order("page", "text", "ocr").alias("p"))
-    step = F.aggregate(
-        "p",
-        F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<at:int,page:int,ocr:boolean>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x["text"]) + 1).cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), x["page"].cast("int").alias("page"), x["ocr"].alias("ocr")))).alias("out")),
-        lambda a: a["out"],
-    )
-    return got.select("tender", "file", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"), step.alias("starts"), (-C.file_priority(F.col("file"), priorities)).alias("prio"))
+    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("tender", "file").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    got = pages.withColumn("at", before.cast("int")).groupBy("tender", "file").agg(_in_order("page", "at", "text", "ocr").alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
+    starts = F.transform("p", lambda x: F.struct(x["at"].alias("at"), x["page"].cast("int").alias("page"), x["ocr"].alias("ocr")))
+    return got.select("tender", "file", text.alias("text"), starts.alias("starts"), (-C.file_priority(F.col("file"), priorities)).alias("prio"))
 
 
 def page_at(starts: Column, pos: Column) -> Column:

@@ -8,18 +8,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from leafmine import rules as R
 from leafmine.functions import columns as C
-from leafmine.functions import scan
+from leafmine.functions import parsed
 from leafmine.operators import answers as A
 from leafmine.operators import incremental as N
 from leafmine.operators import outputs as O
 from leafmine.operators import pages as P
 from leafmine.operators import review as V
 from leafmine.operators import winners as W
-from leafmine.operators.reconcile import reconcile
+from leafmine.operators.reconcile import failed, reconcile
 from leafmine.plans import extraction as X
 from leafmine.sources import files as S
 
@@ -54,28 +53,16 @@ def pg1(spark, d):
     return _t(spark, d, "documents").selectExpr("doc_id", f"{_DIRTY} as text").select("doc_id", C.clean_text(F.col("text")).alias("text"))
 
 
-_DECODED = "source as tender, lang as file, cast(doc_id as int) as page, substr(text, 1, cast(case doc_id % 3 when 0 then 20 else 500 end as int)) as text_layer, substr(text, 1, 300) as ocr_text"
+_DECODED = "source as tender, lang as file, cast(doc_id as int) as page, substr(text, 1, cast(case doc_id % 3 when 0 then 20 else length(text) end as int)) as text_layer, text as ocr_text"
 
 
 @_query("pg2_choose_page_text", rf"""
     with d as (select {_DECODED} from documents), t as (select *, length(trim(text_layer, chr(32) || chr(10))) a, length(trim(ocr_text, chr(32) || chr(10))) b from d),
-    q as (select *, a < 60 and b > a fits from t), r as (select *, fits and sum(cast(fits as int)) over (partition by tender, file order by page) <= 5 ocr from q)
-    select tender, file, page, ocr, length(regexp_replace(regexp_replace(case when ocr then ocr_text else text_layer end, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) n from r""")
-def pg2(spark, d):
-    got = P.choose_page_text(_t(spark, d, "documents").selectExpr(*_split(_DECODED)), most_ocr=5)
-    return got.select("tender", "file", "page", "ocr", F.length("text").cast("long").alias("n"))
-
-
-_DECODED_WHOLE = "source as tender, lang as file, cast(doc_id as int) as page, substr(text, 1, cast(case doc_id % 3 when 0 then 20 else length(text) end as int)) as text_layer, text as ocr_text"
-
-
-@_query("pg2_whole_text", rf"""
-    with d as (select {_DECODED_WHOLE} from documents), t as (select *, length(trim(text_layer, chr(32) || chr(10))) a, length(trim(ocr_text, chr(32) || chr(10))) b from d),
     q as (select *, a < 60 and b > a fits from t), r as (select *, fits and sum(cast(fits as int)) over (partition by tender, file order by page) <= 5 ocr from q),
     c as (select *, regexp_replace(regexp_replace(case when ocr then ocr_text else text_layer end, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') x from r)
     select tender, file, page, ocr, length(regexp_replace(x, '^\s+|\s+$', '', 'g')) n from c""")
-def pg2_whole(spark, d):
-    got = P.choose_page_text(_t(spark, d, "documents").selectExpr(*_split(_DECODED_WHOLE)), most_ocr=5)
+def pg2(spark, d):
+    got = P.choose_page_text(_t(spark, d, "documents").selectExpr(*_split(_DECODED)), most_ocr=5)
     return got.select("tender", "file", "page", "ocr", F.length("text").cast("long").alias("n"))
 
 
@@ -93,13 +80,14 @@ def _split(cols: str) -> list[str]:
     return [*out, last]
 
 
+# cleaning turns the tabs between cells into spaces
 @_query("pg3_sheet_pages", """
-    with c as (select s_nationkey k, s_suppkey r, s_name || chr(9) || cast(s_suppkey as varchar) line from supplier),
+    with c as (select s_nationkey k, s_suppkey r, s_name || ' ' || cast(s_suppkey as varchar) line from supplier),
     s as (select k, string_agg(line, chr(10) order by r) body from c group by k),
-    t as (select 'n' || cast(k as varchar) tender, 'stock.xlsx' file, k page, '[Sheet: S' || cast(k as varchar) || ']' || chr(10) || body "text" from s)
+    t as (select 'n' || cast(k as varchar) tender, 'stock.xlsx' file, k page, '[Sheet: Stock of nation ' || cast(k as varchar) || ']' || chr(10) || body "text" from s)
     select * from t where length("text") > 40""")
 def pg3(spark, d):
-    cells = _t(spark, d, "supplier").selectExpr("concat('n', s_nationkey) tender", "'stock.xlsx' file", "s_nationkey sheet_no", "concat('S', s_nationkey) sheet", "cast(s_suppkey as int) `row`", "posexplode(array(s_name, '  ', cast(s_suppkey as string), '')) as (col, value)")
+    cells = _t(spark, d, "supplier").selectExpr("concat('n', s_nationkey) tender", "'stock.xlsx' file", "s_nationkey sheet_no", "concat('Stock of nation ', s_nationkey) sheet", "cast(s_suppkey as int) `row`", "posexplode(array(s_name, '  ', cast(s_suppkey as string), '')) as (col, value)")
     return P.sheet_pages(cells)
 
 
@@ -122,7 +110,7 @@ def pg5(spark, d):
     return _t(spark, d, "part").selectExpr("p_partkey", f"{_FILE} as f").select("p_partkey", C.file_priority(F.col("f")).cast("int").alias("priority"))
 
 
-_STANDING = "concat(case when doc_id % 5 = 0 then concat('General', chr(10), 'conditions of  contract ') else '' end, substr(text, 1, 200))"
+_STANDING = "concat(case when doc_id % 5 = 0 then concat('General', chr(10), 'conditions of  contract ') else '' end, text)"
 
 
 @_query("pg6_mark_boilerplate", """
@@ -133,12 +121,6 @@ def pg6(spark, d):
     return P.mark_boilerplate(pages).groupBy("tender", "file").agg(F.count("*").alias("pages"), (F.count("*") >= 50).alias("long_file"), F.first("boilerplate").alias("boilerplate"))
 
 
-@_query("pg6_whole_text", SQL["pg6_mark_boilerplate"])
-def pg6_whole(spark, d):
-    pages = _t(spark, d, "documents").selectExpr("source tender", "lang file", "doc_id page", f"{_STANDING.replace('substr(text, 1, 200)', 'text')} text")
-    return P.mark_boilerplate(pages).groupBy("tender", "file").agg(F.count("*").alias("pages"), (F.count("*") >= 50).alias("long_file"), F.first("boilerplate").alias("boilerplate"))
-
-
 _TALK = "cast(conv_id as string) as tender, concat(role, case when conv_id % 2 = 0 then ' tender.txt' else ' boq.txt' end) as file, cast(turn as int) as page, text, false as ocr, role = 'system' as boilerplate"
 _TALK_SQL = _TALK.replace("as string", "as varchar")
 
@@ -169,7 +151,7 @@ def pg9(spark, d):
     return _t(spark, d, "documents").select("doc_id", C.page_ref(F.col("source"), F.col("doc_id") % 4, F.col("doc_id") % 3 == 0).alias("ref"))
 
 
-_LINE = "case doc_id % 6 when 0 then '' when 1 then concat(substr(text, 1, 10), ' ', chr(2309)) when 2 then concat('........', substr(text, 1, 4), '........') else substr(text, 1, 60) end"
+_LINE = "case doc_id % 6 when 0 then '' when 1 then concat(text, ' ', chr(2309)) when 2 then concat('........', lang, '........') else text end"
 
 
 @_query("pg10_is_junk_line", f"""
@@ -195,34 +177,16 @@ _MONEY = f"case o_orderkey % 8 when 0 then concat('Rs. ', {_N}, '/- only') when
 _MONEY_SQL = f"""case o_orderkey % 8 when 0 then {_N} when 1 then {_N} + 0.5 when 3 then ({_N} % 90 + 10) * 100000 when 4 then ({_N} % 9 + 1) * 10000000 when 6 then {_N} end"""
 
 
-def _amount_of(bare: bool):
-    return F.udf(lambda s: scan.first_amount(s or "", bare)[0], "double", useArrow=True)
-
-
-@_query("vp1_first_amount", f"""select o_orderkey, cast({_MONEY_SQL} as double) marked, cast(case o_orderkey % 8 when 5 then {_N} else {_MONEY_SQL} end as double) bare from orders where not (o_orderkey % 8 = 5 and {_N} between 1900 and 2100)""")
+# a bare 1900 to 2100 is a year: no amount, and -1 as its place
+@_query("vp1_first_amount", f"""select o_orderkey, cast({_MONEY_SQL} as double) marked, cast(case when o_orderkey % 8 <> 5 then {_MONEY_SQL} when {_N} not between 1900 and 2100 then {_N} end as double) bare from orders""")
 def vp1(spark, d):
-    x = _t(spark, d, "orders").selectExpr("o_orderkey", f"{_MONEY} as s").filter(f"not (o_orderkey % 8 = 5 and {_N} between 1900 and 2100)")
-    return x.select("o_orderkey", _amount_of(False)("s").alias("marked"), _amount_of(True)("s").alias("bare"))
-
-
-@_query("vp2_first_amount_at", f"""select o_orderkey, cast({_N} as double) "value", cast(length('Bidding-') as bigint) pos from orders where {_N} not between 1900 and 2100""")
-def vp2(spark, d):
-    at = F.udf(lambda s: scan.first_amount_at(s or "", True)[::2], "struct<value: double, pos: long>", useArrow=True)
-    x = _t(spark, d, "orders").filter(f"{_N} not between 1900 and 2100").selectExpr("o_orderkey", f"concat('Bidding-', {_N}) as s").select("o_orderkey", at("s").alias("a"))
-    return x.select("o_orderkey", "a.value", "a.pos")
-
-
-@_query("vp1_all_orders", f"""select o_orderkey, cast({_MONEY_SQL} as double) marked, cast(case when o_orderkey % 8 <> 5 then {_MONEY_SQL} when {_N} not between 1900 and 2100 then {_N} end as double) bare from orders""")
-def vp1_all(spark, d):
     x = _t(spark, d, "orders").selectExpr("o_orderkey", f"{_MONEY} as s")
-    return x.select("o_orderkey", _amount_of(False)("s").alias("marked"), _amount_of(True)("s").alias("bare"))
+    return x.select("o_orderkey", parsed.first_amount(F.col("s"))["value"].alias("marked"), parsed.first_amount(F.col("s"), True)["value"].alias("bare"))
 
 
-# a bare 1900 to 2100 is a year: no amount, and -1 as its place
-@_query("vp2_all_orders", f"""select o_orderkey, cast(case when {_N} not between 1900 and 2100 then {_N} end as double) "value", cast(case when {_N} between 1900 and 2100 then -1 else length('Bidding-') end as bigint) pos from orders""")
-def vp2_all(spark, d):
-    at = F.udf(lambda s: scan.first_amount_at(s or "", True)[::2], "struct<value: double, pos: long>", useArrow=True)
-    x = _t(spark, d, "orders").selectExpr("o_orderkey", f"concat('Bidding-', {_N}) as s").select("o_orderkey", at("s").alias("a"))
+@_query("vp2_first_amount_at", f"""select o_orderkey, cast(case when {_N} not between 1900 and 2100 then {_N} end as double) "value", cast(case when {_N} between 1900 and 2100 then -1 else length('Bidding-') end as bigint) pos from orders""")
+def vp2(spark, d):
+    x = _t(spark, d, "orders").selectExpr("o_orderkey", f"concat('Bidding-', {_N}) as s").select("o_orderkey", parsed.first_amount_at(F.col("s"), True).alias("a"))
     return x.select("o_orderkey", "a.value", "a.pos")
 
 
@@ -264,9 +228,8 @@ def vp7(spark, d):
 
 @_query("vp8_text_value", """select p_partkey, case p_partkey % 4 when 0 then p_name || ' for the ' || lower(p_brand) when 1 then '' when 2 then p_name || ' of ' || p_brand else '' end "value" from part""")
 def vp8(spark, d):
-    value = F.udf(lambda s: scan.text_value(s or ""), "string", useArrow=True)
     x = _t(spark, d, "part").selectExpr("p_partkey", "case p_partkey % 4 when 0 then concat(' : ', chr(10), p_name, ' for the', chr(10), lower(p_brand), chr(10), 'Name: other') when 1 then concat(', ', p_name) when 2 then concat('| ', p_name, '   of', chr(10), p_brand, chr(10), 'SECTION TWO:') else 'TERMS AND CONDITIONS' end as s")
-    return x.select("p_partkey", value("s").alias("value"))
+    return x.select("p_partkey", parsed.text_value(F.col("s")).alias("value"))
 
 
 @_query("vp9_weak_value", """select o_orderkey, o_orderkey % 8 in (0, 1, 2, 4, 5) weak from orders""")
@@ -277,12 +240,9 @@ def vp9(spark, d):
 
 @_query("vp10_line_anchored", """select o_orderkey, o_orderkey % 5 in (0, 1, 4) anchored from orders""")
 def vp10(spark, d):
-    def anchored(s: str) -> bool:
-        at = s.lower().index("location")
-        return scan.line_anchored(s, at, at + 8)
-
     x = _t(spark, d, "orders").selectExpr("o_orderkey", "case o_orderkey % 5 when 0 then concat('x ', o_orderkey, chr(10), '2.1) Location Pune') when 1 then concat('the location: site ', o_orderkey) when 2 then concat('at the opening', chr(10), 'location, before ', o_orderkey) when 3 then concat('opened at the', chr(10), 'location of ', o_orderkey) else concat('It ends.', chr(10), '* location of ', o_orderkey) end as s")
-    return x.select("o_orderkey", F.udf(anchored, "boolean", useArrow=True)("s").alias("anchored"))
+    at = F.locate("location", F.lower("s")) - 1
+    return x.select("o_orderkey", parsed.line_anchored(F.col("s"), at, at + 8).alias("anchored"))
 
 
 @_query("vp11_dedupe_repeat", """select p_partkey, case when p_partkey % 2 = 0 and length(p_name || p_brand) > 8 then p_name || p_brand else p_name || ' ' || p_brand end s from part""")
@@ -349,8 +309,7 @@ def _found(spark, d, *fields):
 
 @_query("rl1_rl2_label_winner", X.expected_sql(["emd", "submission_date", "period", "location"]))
 def rl2(spark, d):
-    pages = X.sample_pages(spark, d).filter("file <> 'tender-summary.txt'")
-    return X.label_fields(pages, RULES).filter(F.col("field").isin("emd", "submission_date", "period", "location")).select("tender", "field", "value", "ref", "conf")
+    return X.label_fields(X.sample_pages(spark, d), RULES).filter(F.col("field").isin("emd", "submission_date", "period", "location")).select("tender", "field", "value", "ref", "conf")
 
 
 @_query("rl3_rl4_section_winner", X.expected_sql(["scope_of_work"]))
@@ -402,22 +361,12 @@ def ai1(spark, d):
 
 
 @_query("ai2_chunks", f"""
-    with recursive c as ({_CORPUS_SQL}),
-    r(tender, corpus, chunk, pos, cut) as (
-        select tender, corpus, 0, 0, case when length(corpus) <= 900 then length(corpus) else cut end from (select *, {X.cut_sql("0")} cut from c)
-        union all select tender, corpus, chunk + 1, cut, {X.cut_sql("cut")} from r where cut < length(corpus) and chunk < 2)
-    select tender, chunk, substr(corpus, cast(pos + 1 as bigint), cast(cut - pos as bigint)) "text" from r""")
-def ai2(spark, d):
-    return A.chunk_corpus(A.corpus(_t(spark, d, "conversations").selectExpr(*_split(_TALK))), 900, 3)
-
-
-@_query("ai2_chunks_whole", f"""
     with recursive c as ({_CORPUS_SQL}),
     r(tender, corpus, chunk, pos, cut) as (
         select tender, corpus, 0, 0, case when length(corpus) <= 900 then length(corpus) else cut end from (select *, {X.cut_sql("0")} cut from c)
         union all select tender, corpus, chunk + 1, cut, {X.cut_sql("cut")} from r where cut < length(corpus))
     select tender, chunk, substr(corpus, cast(pos + 1 as bigint), cast(cut - pos as bigint)) "text" from r""")
-def ai2_whole(spark, d):
+def ai2(spark, d):
     return A.chunk_corpus(A.corpus(_t(spark, d, "conversations").selectExpr(*_split(_TALK))), 900, (1 << 31) - 1)
 
 
@@ -495,14 +444,21 @@ def mg4(spark, d):
     return reconcile(tenders, rules, ai.limit(0), ai_ran=False).filter("value not like 'NOT FOUND%'").select("tender", "field", "conf", "flag")
 
 
-@_query("mg5_empty_tender", """select cast(c_custkey as varchar) tender, count(*) * 13 n, max('NOT FOUND') flag from customer where c_custkey not in (select o_custkey from orders) group by 1""")
+@_query("mg5_empty_tender", """select cast(c_custkey as varchar) tender, count(*) * 13 n, max('NOT FOUND') flag from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P') group by 1""")
 def mg5(spark, d):
-    c = _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").cast("string").alias("tender"))
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders").filter("o_orderstatus = 'P'")
+    c = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").cast("string").alias("tender"))
     _, rules, ai = _readers(spark, d)
     none = rules.limit(0)
     return reconcile(c, none, none).groupBy("tender").agg(F.count("*").alias("n"), F.max("flag").alias("flag"))
 
 
+@_query("mg5_failed_tender", f"""select cast(c_custkey as varchar) tender, field, '{R.NOT_FOUND}' "value", 'processing error' flag from customer, unnest([{", ".join(f"'{f}'" for f in R.ORDER)}]) u(field) where c_mktsegment = 'MACHINERY'""")
+def mg5_failed(spark, d):
+    broken = _t(spark, d, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").cast("string").alias("tender"))
+    return failed(broken).select("tender", "field", "value", "flag")
+
+
 # --- outputs ----------------------------------------------------------------------------------------------------
 
 
@@ -600,12 +556,12 @@ def _board_results(spark, d):
 
 _BOARD_SQL = """e as (select user_id, max(ts) ts, cast(sum(floor("value")) as bigint) v, count(*) n from events group by 1),
     b as (select cast(user_id as varchar) tender, user_id, case when user_id % 7 = 0 then null else cast(ts as date) + cast(user_id % 40 as int) end due, n % 2 = 0 low, cast(v as double) emd from e),
-    c as (select *, date_diff('day', date '2024-01-10', due) as days, cast(low as int) + cast(user_id % 3 = 0 as int) review from b),
+    c as (select *, date_diff('day', date '2024-02-05', due) as days, cast(low as int) + cast(user_id % 3 = 0 as int) review from b),
     q as (select *, case when days is null or days < 0 then 'past' when days <= 3 then 'urgent' when days <= 14 then 'soon' else 'open' end state from c)"""
 
 
 def _board(spark, d):
-    return V.urgency(_board_results(spark, d), F.lit("2024-01-10").cast("date"))
+    return V.urgency(_board_results(spark, d), F.lit("2024-02-05").cast("date"))
 
 
 @_query("rv1_run_stats", f"""with {_BOARD_SQL} select count(*) tenders, cast(sum(3 - cast(due is null as int)) as bigint) found, count(*) * 3 total, cast(floor(sum(3 - cast(due is null as int)) * 100 / (count(*) * 3)) as bigint) percent, cast(sum(review) as bigint) flagged, count(*) filter (where user_id % 4 = 0) without_ai from q""")
@@ -740,7 +696,7 @@ def w1_rules_only(spark, d):
 def w2(spark, d):
     r = _board_results(spark, d)
     again = O.rows_from_outputs(O.tender_summary(r), O.evidence(r)).filter("not (value like 'NOT FOUND%' and flag = '' and field not in ('submission_date', 'emd', 'location'))")
-    return V.search(V.urgency(again, F.lit("2024-01-10").cast("date")), again, review_only=True).select("tender", "state", "days", "emd")
+    return V.search(V.urgency(again, F.lit("2024-02-05").cast("date")), again, review_only=True).select("tender", "state", "days", "emd")
 
 
 @_query("w3_incremental_sync", """select 'r' || cast(n_regionkey as varchar) root, case when c_custkey % 3 = 0 then 'new' when c_custkey % 3 = 1 then 'replaced' else 'kept' end status, count(*) n from customer join nation on c_nationkey = n_nationkey

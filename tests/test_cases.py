@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leafmine import rules as R
 from leafmine.functions import columns as C
-from leafmine.functions import scan
+from leafmine.functions import parsed, reading
 from leafmine.operators import answers as A
 from leafmine.operators import candidates as K
 from leafmine.operators import pages as P
@@ -30,12 +30,12 @@ def _col(spark, value, f):
     ],
 )
 def test_first_amount(text, bare, value):
-    assert scan.first_amount(text, bare)[0] == value
+    assert reading.first_amount(text, bare)[0] == value
 
 
 def test_amount_alone_loses_its_surroundings():
-    assert scan.first_amount_at("Bidding-9722687", True)[::2] == (9722687, 8)
-    assert scan.first_amount_at("Rs. 5%")[0] == 5
+    assert reading.first_amount_at("Bidding-9722687", True)[::2] == (9722687, 8)
+    assert reading.first_amount_at("Rs. 5%")[0] == 5
 
 
 @pytest.mark.parametrize(("text", "value"), [("Rs. 2,50,000/- (Rupees Two Lakhs fifty thousand only)", 250000), ("Rs. 4.50 Lakh", 450000), ("3 cr", 3e7), ("3 credits", 3), ("nil", None)])
@@ -45,7 +45,7 @@ def test_money_number(spark, text, value):
 
 @pytest.mark.parametrize(("line", "junk"), [("", True), ("बोली Bid", True), ("......, dated: ......", True), ("12 Main Road, Pune 411001", False), ("....", False)])
 def test_junk_line(spark, line, junk):
-    assert _col(spark, line, C.is_junk_line) == junk == scan.is_junk_line(line)
+    assert _col(spark, line, C.is_junk_line) == junk == reading.is_junk_line(line)
 
 
 def _pages(spark, *texts, file="a.txt"):
@@ -130,9 +130,9 @@ def test_due_dates(spark):
 
 def test_chunks():
     text = "<<<FILE: a | PAGE: 1>>>\n" + "x" * 60 + "\n<<<FILE: a | PAGE: 2>>>\n" + "y" * 60
-    assert scan.chunks(text, 500, 8) == [text]
-    assert scan.chunks(text, 100, 8)[1].startswith("\n<<<FILE: a | PAGE: 2")
-    assert len(scan.chunks("z" * 1000, 100, 3)) == 3
+    assert reading.chunks(text, 500, 8) == [text]
+    assert reading.chunks(text, 100, 8)[1].startswith("\n<<<FILE: a | PAGE: 2")
+    assert len(reading.chunks("z" * 1000, 100, 3)) == 3
 
 
 def test_chunks_beyond_most(spark):
