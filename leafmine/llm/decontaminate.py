@@ -51,7 +51,7 @@ def _blocks(p: str = "p") -> Column:
 
 
 def leaks(docs: DataFrame, items: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, k0, k1 (see keys), item_id, start (word), n_words, similarity: the best window of each document for each item it holds.
+    """doc_id, k0, k1, k2 (see keys), item_id, start (word), n_words, similarity: the best window of each document for each item it holds.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. A window holds an item if their
     similarity is percent / 100 or more; of equally similar ones the first counts. Null or empty texts

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from leafmine.llm import textops as T
 from leafmine.llm.components import components
-from leafmine.llm.keys import KEY, keyed
+from leafmine.llm.keys import KEY, KEY_TYPES, keyed
 from leafmine.llm.scratch import Scratch
 
 WORDS, PERCENT = 5, 75
@@ -368,10 +368,10 @@ def _coloured(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, DataFrame]:
-    """Each document's set (k0, k1, n, d1, d2), and each class of equal sets with a member's text (node, n, text)."""
-    meta = scratch.write(docs.select(*KEY, "text").mapInArrow(_digests(k), "k0 long, k1 int, n long, d1 long, d2 long"), "meta")
+    """Each document's set (keys, n, d1, d2), and each class of equal sets with a member's text (node, n, text)."""
+    meta = scratch.write(docs.select(*KEY, "text").mapInArrow(_digests(k), f"{KEY_TYPES}, n long, d1 long, d2 long"), "meta")
     classes = meta.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct(*KEY)).alias("rep"))
-    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("node"), "n", "d1", "d2", "rep.k0", "rep.k1"), "classes")
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("node"), "n", "d1", "d2", *[f"rep.{c}" for c in KEY]), "classes")
     texts = docs.select(*KEY, "text").join(classes.select("node", "n", *KEY), KEY)
     if meta.groupBy(*KEY).count().filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["node"])  # a row that repeats stands once
@@ -454,7 +454,7 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
 
 
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """k0, k1 (see keys), n_shingles, component, label: the documents in groups that hang together by links.
+    """k0, k1, k2 (see keys), n_shingles, component, label: the documents in groups that hang together by links.
 
     A set: the distinct k-word shingles of the text, A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`; with fewer
     words the whole sequence as one. Two documents link if 100 * intersection >= percent * union; an empty

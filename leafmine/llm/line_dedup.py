@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmine.llm.keys import KEY, keyed
+from leafmine.llm.keys import KEY, KEY_TYPES, keyed
 from leafmine.llm.scratch import Scratch
 
 WINDOW = 3
@@ -18,19 +18,21 @@ WINDOW = 3
 def _windows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k0, k1, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*KEY, "text"))
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             out: list[tuple] = []
-            for a, b, text in zip(k0, k1, texts, strict=True):
+            for row, text in enumerate(texts):
                 lines = text.split("\n")
                 n = min(size, len(lines))
                 for i in range(len(lines) - n + 1):
                     window = "\n".join(lines[i : i + n])
                     if window and not window.isspace():
                         h = hashlib.blake2b(window.encode("utf-8", "surrogatepass"), digest_size=16, salt=n.to_bytes(8, "little")).digest()
-                        out.append((a, b, i, h))
+                        out.append((row, i, h))
             if out:
-                at = np.frombuffer(b"".join(x[3] for x in out), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array(at[:, 0].copy()), pa.array(at[:, 1].copy())], [*KEY, "line", "h1", "h2"])
+                at = np.frombuffer(b"".join(x[2] for x in out), np.int64).reshape(-1, 2)
+                rows = pa.array([x[0] for x in out], pa.int64())
+                keys = [batch.column(batch.schema.get_field_index(c)).take(rows) for c in KEY]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([x[1] for x in out], pa.int32()), pa.array(at[:, 0].copy()), pa.array(at[:, 1].copy())], [*KEY, "line", "h1", "h2"])
 
     return run
 
@@ -62,7 +64,7 @@ def remove_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """
     docs = keyed(docs)
     scratch = Scratch(docs.sparkSession, "lines")
-    windows = scratch.write(docs.select(*KEY, "text").mapInArrow(_windows(size), "k0 long, k1 int, line int, h1 long, h2 long"), "windows")
+    windows = scratch.write(docs.select(*KEY, "text").mapInArrow(_windows(size), f"{KEY_TYPES}, line int, h1 long, h2 long"), "windows")
     place = F.struct(*KEY, "line")
     many = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     many = scratch.write(many.filter("first < last").select("h1", "h2", "first"), "many")

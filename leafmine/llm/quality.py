@@ -140,7 +140,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
     return Trees(base, depth, np.array(features), np.array(limits), np.array(leaves))
 
 
-def _mapped(model: Trees | None):
+def _mapped(model: Trees | None, column: str = "features"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, classes = T.Hasher(), _class_table()
         for batch in batches:
@@ -152,7 +152,7 @@ def _mapped(model: Trees | None):
                 new = pa.array(list(x), pa.list_(pa.float64()))
             else:
                 new = pa.array(np.concatenate([model.score(x[i : i + 2000]) for i in range(0, len(x), 2000)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, "score" if model else "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, column])
 
     return run
 
@@ -177,12 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
     return fit(x, np.array([float(r["quality"] > 0) for r in got]))
 
 
-def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs with a column score (0 to 1, higher: the better label is likelier). Only the text is an input.
+def score(docs: DataFrame, model: Trees, column: str = "score") -> DataFrame:
+    """docs with one more column (0 to 1, higher: the better label is likelier). Only the text is an input.
 
     Null text counts as empty; an empty text is scored like any other; other columns stay.
-    A column of docs that is called score is replaced.
+    A column of docs that has the name is replaced.
     """
-    docs = docs.drop("score")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(_mapped(model), schema)
+    docs = docs.drop(column)
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    return docs.mapInArrow(_mapped(model, column), schema)

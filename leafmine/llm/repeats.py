@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmine.llm import textops as T
-from leafmine.llm.keys import KEY, keyed
+from leafmine.llm.keys import KEY, KEY_TYPES, keyed
 from leafmine.llm.scratch import Scratch
 
 LENGTH, SEED = 35, 6
@@ -35,7 +35,7 @@ def _seeds(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, s1, s2 = T.Hasher(), T.Hasher(seed=1), T.Hasher(seed=2), T.Hasher(seed=3)
         for batch in batches:
-            k0, k1 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in KEY)
+            keys = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in KEY]
             for lo, hi, data, offsets in T.rows(batch):
                 start, _, first, w1, r1, r2 = _digests(h1, h2, s1, s2, data, offsets)
                 if len(start) < length:
@@ -54,8 +54,8 @@ def _seeds(length: int, k: int):
                 # the place of the seed in its run belongs to the class
                 c1 = s1.spans(r1, ws, we + length) + (pick[ws] - ws).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k0[r]), pa.array(k1[r]), pa.array(T.signed(g[pick[ws]])), pa.array((ws - base).astype(np.int32)), pa.array((we - base).astype(np.int32)), pa.array(T.signed(c1)), pa.array((s2.spans(r2, ws, we + length) >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                    ["k0", "k1", "a", "ws", "we", "c1", "c2"],
+                    [*[pa.array(x[r]) for x in keys], pa.array(T.signed(g[pick[ws]])), pa.array((ws - base).astype(np.int32)), pa.array((we - base).astype(np.int32)), pa.array(T.signed(c1)), pa.array((s2.spans(r2, ws, we + length) >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                    [*KEY, "a", "ws", "we", "c1", "c2"],
                 )
 
     return run
@@ -108,8 +108,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = SEED) -> DataFrame:
-    """The word ranges of each document that repeat somewhere: k0, k1, cover array<struct<s, e>>. docs: from keyed()."""
-    seeds = docs.select(*KEY, "text").mapInArrow(_seeds(length, k), "k0 long, k1 int, a long, ws int, we int, c1 long, c2 int")
+    """The word ranges of each document that repeat somewhere: keys, cover array<struct<s, e>>. docs: from keyed()."""
+    seeds = docs.select(*KEY, "text").mapInArrow(_seeds(length, k), f"{KEY_TYPES}, a long, ws int, we int, c1 long, c2 int")
     seeds = scratch.write(seeds, "seeds")
     twice = scratch.write(seeds.groupBy("a").count().filter("count > 1").select("a"), "twice")
     live = scratch.write(seeds.join(twice, "a"), "live")

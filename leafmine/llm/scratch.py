@@ -1,49 +1,15 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-A table that several later steps read is written once as Parquet: lost executors can't lose it,
-and the plan that follows reads its size from the files.
-"""
+"""Intermediate tables of the corpus operators: those of leafmine.scratch, and a way to drop them early."""
 
 import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a local master gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    found = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-class Scratch:
-    """Tables of one run of an operator, under a folder of its own."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/leafmine-{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.read(name, df)
+from leafmine import scratch
 
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 
+class Scratch(scratch.Scratch):
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads. Shuffle files of steps that are over go, too: Spark deletes
         them when the driver's collector finds that nothing refers to them."""
         gc.collect()
         self.spark._jvm.System.gc()
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            scratch.delete(self.spark, f"{self.root}/{name}")
