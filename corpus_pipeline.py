@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmine.llm import decontaminate, jaccard_join, mixing, quality, token_output
-from leafmine.llm.keys import KEY
+from leafmine.llm.keys import KEY, with_keys
 from leafmine.llm.queries import tokenizer_path
 from leafmine.llm.scratch import Scratch
 
@@ -15,48 +15,49 @@ ORACLE_SQL = None
 # What the stages decide grows with the documents, so it is joined by sorting at every size and never sent to all tasks.
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """docs with the keys of leafmine.llm.keys beside their own columns."""
-    k0 = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    k1 = F.hash(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-    return docs.withColumns(dict(zip(KEY, (k0, k1), strict=True)))
+# Rows travel in one column, so no name of theirs clashes with the stages' own. Each stage keeps nulls, empty texts and repeated
+# rows as its docstring says, and makes an empty table of an empty one.
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject, rows that repeat as often as they stand there. Null text is
+    scored as empty text. The model learns from the labels in sf_dir."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).filter("score >= 0.5").select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return quality.score(docs, model, name).filter(F.col(name) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by links of the Jaccard join, the one with the smallest doc_id; of rows that share it the one with the smallest key."""
+    """Of documents that hang together by links of the Jaccard join, the one with the smallest doc_id (null the lowest); of
+    rows that share it the one with the smallest key. Texts without words, null ones too, link with nothing: all their rows stay."""
     scratch = Scratch(spark, "one")
     groups = scratch.write(jaccard_join.near_groups(docs).select(*KEY, "label"), "groups")
     rows = groups.groupBy("label", *KEY).agg(F.count("*").alias("n"))
     first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(*KEY, "n")).alias("x")).select("x.*")
-    # empty sets link with nothing: all their rows stay
     keep = scratch.write(first.union(rows.filter("label is null").select(*KEY, F.lit(0).cast("long"))), "keep")
-    kept = _with_key(docs).hint("merge").join(keep, KEY)
+    kept = with_keys(docs).hint("merge").join(keep, KEY)
     if keep.filter("n > 1").limit(1).count():
         kept = kept.filter("n <= 1").union(kept.filter("n > 1").dropDuplicates(KEY))
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no item of the benchmark in sf_dir; null and empty texts hold none."""
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*KEY).distinct()
     found = Scratch(spark, "held").write(found, "held")
-    return _with_key(docs).hint("merge").join(found, KEY, "left_anti").select(*docs.columns)
+    return with_keys(docs).hint("merge").join(found, KEY, "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    """Documents as often as the mix of sources takes them. Rows that share doc_id and source are taken equally often;
+    null is a source of its own."""
     times = mixing.mix(docs).filter("times > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k0"), F.col("source").alias("of"), "times")
-    # rows that share doc_id and source are taken equally often
     times = Scratch(spark, "times").write(times.groupBy("k0", "of").agg(F.max("times").alias("times")), "times")
-    taken = docs.withColumn("k", key).hint("merge").join(times, (F.col("k") == F.col("k0")) & F.col("source").eqNullSafe(F.col("of")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    rows = with_keys(docs).select(F.col("k0").alias("own"), "row").hint("merge")
+    taken = rows.join(times, (F.col("own") == F.col("k0")) & F.col("row.source").eqNullSafe(F.col("of")))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
