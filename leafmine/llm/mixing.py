@@ -22,7 +22,7 @@ def words_of(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
-    """source, source_size, target: water filling. The sources (by code point, null last) weigh `weights`,
+    """source, source_size, target: water filling, in one task, as a row for each source is all it reads. The sources (by code point, null last) weigh `weights`,
     repeating, and share `share` of all tokens; a target stops at `repeats` times its source's size, and
     the excess goes to the others by weight. sizes: source, source_size, a row for each source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: i
 
 def thresholds(items: DataFrame, want: DataFrame, scratch: Scratch, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """source, below: documents with a smaller hash are taken. items: source, size, h (32 bits); want: source,
-    rest (tokens). below is the first hash value at which the tokens would exceed the rest."""
+    rest (tokens). The documents below are those whose tokens come nearest to the rest: the one at which they would
+    exceed it is taken if that lands nearer than to leave it."""
     left, bits = scratch.write(want.select("source", "rest", F.lit(0).cast("long").alias("below")), "left0"), 32
     for i, more in enumerate(levels, 1):
         # the boundary bucket of the level before holds the hashes that begin as `below` does
@@ -50,11 +51,13 @@ def thresholds(items: DataFrame, want: DataFrame, scratch: Scratch, levels: tupl
         sums = inside.groupBy("x.source", F.shiftright("h", bits).alias("bucket")).agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
         run = sums.withColumn("run", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")))
         over = F.col("run") > F.col("rest")
-        end = run.groupBy("source").agg(F.min(F.when(over, F.col("bucket"))).alias("bucket"), F.max(F.when(~over, F.col("run"))).alias("used"))
+        end = run.groupBy("source").agg(F.min(F.when(over, F.col("bucket"))).alias("bucket"), F.max(F.when(~over, F.col("run"))).alias("used"), F.min(F.when(over, F.col("run"))).alias("next"))
         left = left.alias("y").join(end.alias("e"), F.expr("y.source <=> e.source"), "left")
+        used = F.coalesce("used", F.lit(0))
+        nearer = (F.col("next") - F.col("rest") < F.col("rest") - used).cast("long") if i == len(levels) else F.lit(0)
         # no bucket is over: the budget takes all
-        below = F.coalesce(F.shiftleft("bucket", bits), F.col("below") + F.lit(1 << bits + more))
-        left = scratch.write(left.select("y.source", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("rest"), below.alias("below")), f"left{i}")
+        below = F.coalesce(F.shiftleft("bucket", bits) + nearer, F.col("below") + F.lit(1 << bits + more))
+        left = scratch.write(left.select("y.source", (F.col("rest") - used).alias("rest"), below.alias("below")), f"left{i}")
     return left.select("source", "below")
 
 

@@ -64,7 +64,7 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = winnow.edited_fingerprints(_read(spark, sf_dir, "documents"))
-    return both.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return both.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "places")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +130,8 @@ SQL: dict[str, str] = {
         e as (select source, source_size, case when lev * w < most then best * w else most end target from d),
         f as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end whole from e),
         g as (select x.doc_id, x.size, f.source_size, f.target, f.whole, floor(f.target) - f.whole * f.source_size rest,
-                sum(x.size) over (partition by x.source order by x.h) run from x join f on x.source is not distinct from f.source)
-        select doc_id, size, source_size, target, cast(size * (whole + case when run <= rest and whole < 2 then 1 else 0 end) as bigint) taken from g""",
+                sum(x.size) over (partition by x.source order by x.h) run, sum(x.size) over (partition by x.source, x.h) own from x join f on x.source is not distinct from f.source)
+        select doc_id, size, source_size, target, cast(size * (whole + case when (run <= rest or run - rest < rest - (run - own)) and whole < 2 then 1 else 0 end) as bigint) taken from g""",
     "op9_line_dedup": r"""
         with d as (select doc_id, coalesce(text, '') t, string_split(coalesce(text, ''), chr(10)) l from documents),
         w as (select doc_id, t, i, least(3, len(l)) n, array_to_string(l[i + 1 : i + least(3, len(l))], chr(10)) win from d, unnest(range(0, len(l) - least(3, len(l)) + 1)) u(i)),

@@ -4,15 +4,16 @@ Seeds: a window of `length` words always picks the same k-gram of its own (the s
 ones the rightmost), so two equal windows pick equal seeds at equal places. Each seed owns the run of
 windows that picked it. Seeds that occur once are dropped; the others are extended: occurrences of a
 seed whose whole runs agree are one class, and where a seed has several classes, one member of each
-is extended window by window, to the left and right as far as its run goes. What repeats is covered.
-Work follows occurrences and classes, never pairs of occurrences.
+is extended window by window, to the left and right as far as its run goes. Windows that repeat side by side are
+one match, and matches that meet or overlap in a document, also those of neighbouring seeds, are one stretch:
+it can't be made longer to either side. Work follows occurrences and classes, never pairs of occurrences.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmine.llm import textops as T
@@ -125,12 +126,31 @@ def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = SE
     again = windows.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("n").alias("n"))
     again = scratch.write(again.filter("p < q or n > 1").select("h1", "h2"), "again")
     parts = windows.join(again, ["h1", "h2"]).groupBy(*_CLASS).agg(F.collect_set("off").alias("offs"))
-    found = classes.select(*_CLASS, "n").join(parts, _CLASS, "left").filter("n > 1 or offs is not null")
-    found = scratch.write(found.select(*_CLASS, F.when(F.col("n") == 1, F.col("offs")).alias("offs")), "found")
-    whole = F.array(F.struct(F.col("ws").alias("s"), (F.col("we") + length).alias("e")))
-    some = F.transform("offs", lambda o: F.struct((F.col("ws") + o).alias("s"), (F.col("ws") + o + length).alias("e")))
-    cover = live.join(found, _CLASS).select(*KEY, F.when(F.col("offs").isNull(), whole).otherwise(some).alias("c"))
-    return scratch.write(cover.groupBy(*KEY).agg(F.flatten(F.collect_list("c")).alias("cover")), "cover")
+    # offsets of windows that repeat, as ranges of words from the start of the run: the matches, as long as they can be
+    longest = _merged(F.transform("offs", lambda o: F.struct(o.alias("s"), (o + length).alias("e"))))
+    found = classes.select(*_CLASS, "n", (F.col("we") - F.col("ws") + length).alias("all")).join(parts, _CLASS, "left").filter("n > 1 or offs is not null")
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("all").alias("e")))
+    found = scratch.write(found.select(*_CLASS, F.when(F.col("n") > 1, whole).otherwise(longest).alias("matches")), "found")
+    cover = live.join(found, _CLASS).select(*KEY, F.transform("matches", lambda m: F.struct((F.col("ws") + m["s"]).alias("s"), (F.col("ws") + m["e"]).alias("e"))).alias("c"))
+    return scratch.write(cover.groupBy(*KEY).agg(_merged(F.flatten(F.collect_list("c"))).alias("cover")), "cover")
+
+
+def _merged(ranges: Column) -> Column:
+    """Ranges (s, e) in order, those that meet or overlap made one: a range begins where all before it have ended."""
+    kind = "array<struct<s:int,e:int>>"
+    ordered = F.array_sort(F.array_distinct(ranges))
+    step = lambda a, x: F.when(a["e"] >= x["s"], F.struct(a["s"].alias("s"), F.greatest(a["e"], x["e"]).alias("e"), a["out"].alias("out"))).otherwise(F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e")))).alias("out")))
+    first = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.array().cast(kind).alias("out"))
+    last = F.aggregate(ordered, first, step)
+    return F.filter(F.concat(last["out"], F.array(F.struct(last["s"].alias("s"), last["e"].alias("e")))), lambda r: r["s"] >= 0)
+
+
+def stretches(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
+    """doc_id, start, end (words): the longest stretches of each text in which every word is covered by a window that repeats.
+    Rows that agree in doc_id and text have them once each. See remove_repeats()."""
+    docs = keyed(docs)
+    cover = covered(docs, Scratch(docs.sparkSession, "stretches"), length, k)
+    return docs.join(cover, KEY).select("doc_id", F.explode("cover").alias("r")).select("doc_id", F.col("r.s").alias("start"), F.col("r.e").alias("end"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
