@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmine.llm import textops as T
@@ -126,31 +126,39 @@ def covered(docs: DataFrame, scratch: Scratch, length: int = LENGTH, k: int = SE
     again = windows.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("n").alias("n"))
     again = scratch.write(again.filter("p < q or n > 1").select("h1", "h2"), "again")
     parts = windows.join(again, ["h1", "h2"]).groupBy(*_CLASS).agg(F.collect_set("off").alias("offs"))
-    # offsets of windows that repeat, as ranges of words from the start of the run: the matches, as long as they can be
-    longest = _merged(F.transform("offs", lambda o: F.struct(o.alias("s"), (o + length).alias("e"))))
+    # windows that repeat side by side are one match, as long as it can be: words from the start of the run
+    first, last = (F.filter("offs", lambda o: ~F.array_contains("offs", o + step)) for step in (-1, 1))
+    longest = F.zip_with(F.array_sort(first), F.array_sort(last), lambda a, b: F.struct(a.alias("s"), (b + length).alias("e")))
     found = classes.select(*_CLASS, "n", (F.col("we") - F.col("ws") + length).alias("all")).join(parts, _CLASS, "left").filter("n > 1 or offs is not null")
     whole = F.array(F.struct(F.lit(0).alias("s"), F.col("all").alias("e")))
     found = scratch.write(found.select(*_CLASS, F.when(F.col("n") > 1, whole).otherwise(longest).alias("matches")), "found")
     cover = live.join(found, _CLASS).select(*KEY, F.transform("matches", lambda m: F.struct((F.col("ws") + m["s"]).alias("s"), (F.col("ws") + m["e"]).alias("e"))).alias("c"))
-    return scratch.write(cover.groupBy(*KEY).agg(_merged(F.flatten(F.collect_list("c"))).alias("cover")), "cover")
+    return scratch.write(cover.groupBy(*KEY).agg(F.flatten(F.collect_list("c")).alias("cover")), "cover")
 
 
-def _merged(ranges: Column) -> Column:
-    """Ranges (s, e) in order, those that meet or overlap made one: a range begins where all before it have ended."""
-    kind = "array<struct<s:int,e:int>>"
-    ordered = F.array_sort(F.array_distinct(ranges))
-    step = lambda a, x: F.when(a["e"] >= x["s"], F.struct(a["s"].alias("s"), F.greatest(a["e"], x["e"]).alias("e"), a["out"].alias("out"))).otherwise(F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e")))).alias("out")))
-    first = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.array().cast(kind).alias("out"))
-    last = F.aggregate(ordered, first, step)
-    return F.filter(F.concat(last["out"], F.array(F.struct(last["s"].alias("s"), last["e"].alias("e")))), lambda r: r["s"] >= 0)
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of each document that meet or overlap made one: a stretch begins where all before it have ended."""
+    for batch in batches:
+        cover = batch.column(batch.schema.get_field_index("cover"))
+        row = np.repeat(np.arange(len(cover)), cover.value_lengths().to_numpy())
+        s, e = (cover.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+        order = np.lexsort((s, row))
+        row, s, e = row[order], s[order], e[order]
+        far = np.int64(1) << 32
+        reach = np.maximum.accumulate(row * far + e)
+        new = np.ones(len(s), bool)
+        new[1:] = row[1:] * far + s[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        end = (reach - row * far)[np.append(at[1:], len(s)) - 1] if len(s) else s
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(row[at])), pa.array(s[at]), pa.array(end)], ["doc_id", "start", "end"])
 
 
 def stretches(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:
     """doc_id, start, end (words): the longest stretches of each text in which every word is covered by a window that repeats.
-    Rows that agree in doc_id and text have them once each. See remove_repeats()."""
+    Each row has its own, also if rows repeat. See remove_repeats()."""
     docs = keyed(docs)
     cover = covered(docs, Scratch(docs.sparkSession, "stretches"), length, k)
-    return docs.join(cover, KEY).select("doc_id", F.explode("cover").alias("r")).select("doc_id", F.col("r.s").alias("start"), F.col("r.e").alias("end"))
+    return docs.join(cover, KEY).select("doc_id", "cover").mapInArrow(_joined, "doc_id long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED) -> DataFrame:

@@ -172,6 +172,51 @@ def test_leaks_at_exactly_the_similarity(spark):
     assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in found) == [(i, i, 0, 0.75) for i in range(400)]
 
 
+def _similarity(window: list, item: list, weight, k: int = 5) -> float:
+    a, b = (Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (window, item))
+    both = sum(min(n, b[g]) * weight(g) for g, n in a.items())
+    return both / (sum(n * weight(g) for g, n in a.items()) + sum(n * weight(g) for g, n in b.items()) - both)
+
+
+def test_leaks_against_every_window(spark):
+    """Edits at several rates, in place, by insertion and by removal: what a comparison of every window finds is found."""
+    rng = np.random.default_rng(11)
+    items = [[f"w{x}" for x in rng.integers(0, 3000, int(n))] for n in rng.integers(12, 60, 40)]
+    texts = []
+    for rate in (0, 0.01, 0.02, 0.04, 0.07, 0.1):
+        for item in items:
+            w = []
+            for x in item:
+                r = rng.random() / max(rate, 1e-9)
+                w += [x] if r > 1 else [f"e{rng.integers(0, 99)}"] if r > 0.5 else [] if r > 0.25 else [x, f"e{rng.integers(0, 99)}"]
+            texts.append([f"n{x}" for x in rng.integers(0, 500, 30)] + w + [f"n{x}" for x in rng.integers(0, 500, int(rng.integers(0, 30)))])
+    has = Counter(g for item in items for g in {tuple(item[i : i + 5]) for i in range(len(item) - 4)})
+    weight = lambda g: int(np.floor(1000 * np.log(1 + len(items) / max(1, has[g])) + 0.5))
+    want = {}
+    for d, w in enumerate(texts):
+        for j, item in enumerate(items):
+            if not {tuple(w[i : i + 5]) for i in range(len(w) - 4)} & {tuple(item[i : i + 5]) for i in range(len(item) - 4)}:
+                continue
+            best = max(_similarity(w[s : s + len(item)], item, weight) for s in range(len(w) - 4))
+            if best >= 0.75:
+                want[d, j] = best
+    table = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(table(texts, "doc_id"), table(items, "item_id")).collect()}
+    print(f"{len(got)} of {len(want)} pairs")
+    assert len(want) > 90 and set(got) <= set(want)
+    assert len(got) >= 0.98 * len(want) and all(want[p] >= s - 1e-12 for p, s in got.items())
+
+
+def test_leaks_of_long_and_repetitive_items(spark):
+    rng = np.random.default_rng(4)
+    long = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
+    edited = [x if rng.random() > 0.02 else "e" for x in long]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, "same " * 40_000), (3, " ".join(f"u{i}" for i in range(700)))], "item_id long, text string")
+    texts = [(1, "head " * 50 + " ".join(edited) + " tail" * 60), (2, "same " * 60), (3, " ".join(long[:1500])), (4, " ".join(f"u{i}" for i in range(40, 700)))]
+    found = {(r.doc_id, r.item_id): r.start for r in decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()}
+    assert found == {(1, 1): 50, (4, 3): 0}  # and 40,000 equal words overflow no counter
+
+
 def test_secrets(spark, docs, rows, none):
     rules = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
     tricky = ["token:token: abcdefgh", "token=secret=abcdefg PASSWORD = 'hunter2!'", "AKIAAKIA" + "B" * 18, "f" * 23 + " " + "f" * 24, "api key api_key\": 12345 apikey=123456"]
