@@ -9,6 +9,7 @@ from leafmine.functions import parsed, reading
 from leafmine.operators import answers as A
 from leafmine.operators import candidates as K
 from leafmine.operators import pages as P
+from leafmine.operators import review as V
 from leafmine.operators import winners as W
 from leafmine.plans import extraction as X
 from leafmine.sources import files as S
@@ -166,3 +167,47 @@ def test_page_text_stays_out_of_the_winners_shuffle(spark):
     for line in plan.split("\n"):
         if "Exchange hashpartitioning" in line:
             assert "text#" not in line
+
+
+def test_slots(spark):
+    """Decoder and answer slots, and chunks that flow through a model into the merge."""
+    import pandas as pd
+
+    files = spark.createDataFrame([("t", "a.bin", b"one|two"), ("t", "b.bin", b"")], "tender string, file string, content binary")
+
+    def decoder(frames):
+        for f in frames:
+            rows = [(t, n, i + 1, x, None) for t, n, c in zip(f["tender"], f["file"], f["content"], strict=True) for i, x in enumerate(bytes(c).decode().split("|")) if x]
+            yield pd.DataFrame(rows, columns=["tender", "file", "page", "text_layer", "ocr_text"])
+
+    pages = P.choose_page_text(S.decode(files, decoder, "tender string, file string, page int, text_layer string, ocr_text string"))
+    assert sorted((r.file, r.page, r.text) for r in pages.collect()) == [("a.bin", 1, "one"), ("a.bin", 2, "two")]
+
+    def model(frames):
+        for f in frames:
+            body = ['{"fields": {"emd": {"value": "%d", "confidence": "high"}}}' % len(x) for x in f["text"]]
+            yield pd.DataFrame({"tender": f["tender"], "chunk": f["chunk"], "provider": "one", "json": body})
+
+    chunks = A.chunk_corpus(A.corpus(pages.withColumn("boilerplate", F.lit(False)), most=70), 70, 1)
+    text = chunks.first().text
+    assert text.startswith("<<<FILE: a.bin | PAGE: 1>>>\none\n\n<<<FILE") and len(text) <= 70
+    got = A.merge_answers(A.answer_rows(A.pick_provider_answer(A.answer(chunks, model), ["one"]))).collect()
+    assert [(r.field, r.value, r.ref) for r in got] == [("emd", str(len(text)), "AI")]
+
+
+def test_sort_orders(spark):
+    rows = [("b", 2, 1, 5.0, 0), ("a", 30, 2, 7.0, 3), ("c", None, 3, 1.0, 1), ("d", 1, 0, 7.0, 1)]
+    board = spark.createDataFrame(rows, "tender string, days int, state_rank int, emd double, review long")
+    order = lambda by: "".join(r.tender for r in V.sort_rows(board, by).collect())
+    assert [order(by) for by in ("due", "folder", "emd", "review")] == ["dbac", "abcd", "adbc", "acdb"]
+
+
+def test_gazetteer_is_whole():
+    places = R.default_gazetteer()
+    assert len(places) == 205 and places["VASCO DA GAMA"] == "Goa" and set(places.values()) <= set(R.STATES)
+
+
+def test_amount_signs_look_at_their_own_place_only():
+    """What follows an amount says nothing about what stands before one."""
+    assert reading.first_amount("fee 5 lakh7")[0] == 500000 and reading.first_amount("fee 5 cr05")[0] == 5e7
+    assert reading.first_amount("sum,500/-")[0] == 500 and reading.first_amount("T-12,345/-")[0] is None
