@@ -22,9 +22,9 @@ from leafmine.llm.scratch import Scratch
 WORDS, PERCENT = 5, 75
 #: Fingerprints: GROUPS running sums with LANES counters of WIDTH bits each.
 GROUPS, LANES, WIDTH = 11, 5, 11
-#: Bits of 55 in which fingerprints may differ: 24 blocks, 7 of 3 bits and 17 of 2.
-RADIUS = 23
-BLOCKS = [(3 * b, 3) for b in range(7)] + [(21 + 2 * b, 2) for b in range(17)]
+#: Bits of 55 in which fingerprints may differ: 21 blocks, 13 of 3 bits and 8 of 2.
+RADIUS = 20
+BLOCKS = [(3 * b, 3) for b in range(13)] + [(39 + 2 * b, 2) for b in range(8)]
 #: Most words of an item's part, and of the stretch of a document whose windows are laid at once; both keep a counter within its bits.
 PART, STRETCH = 256, 128
 #: The items' shingles are sent to all tasks if their hashes, 8 bytes each, take no more than so many bytes; beyond, positions are shuffled to them.
@@ -80,20 +80,26 @@ def _hits(docs: DataFrame, seeds: DataFrame, small: bool, k: int) -> DataFrame:
     return d.join(at.drop("w").join(seeds, "seed").distinct(), KEY)
 
 
-def _lookup(stretches: DataFrame, index: DataFrame, sizes: list[int], k: int) -> DataFrame:
+def _lookup(stretches: DataFrame, index: DataFrame, sizes: list[int], k: int, scratch: Scratch) -> DataFrame:
     """keys, item: documents and items of which a window and a part lie within the radius."""
     h = F.xxhash64("word")
     by = [*KEY, "c"]
     upto = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = stretches.select(*by, "lo", "low", "high", F.posexplode("ws").alias("pos", "word")).withColumns({f"s{g}": c for g, c in enumerate(_counters(h))})
+    # dealt out by number, as the work follows the windows of a stretch and not its bytes
+    dealt = stretches.repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), *by)
+    rows = dealt.select(*by, "lo", "low", "high", F.posexplode("ws").alias("pos", "word")).withColumns({f"s{g}": c for g, c in enumerate(_counters(h))})
     rows = rows.select(*by, "lo", "low", "high", F.struct("pos", *[F.sum(f"s{g}").over(upto).alias(f"s{g}") for g in range(GROUPS)]).alias("r"))
-    sums = rows.groupBy(*by, "lo", "low", "high").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    zero = F.array(F.struct(F.lit(-1).alias("pos"), *[F.lit(0).cast("long").alias(f"s{g}") for g in range(GROUPS)]))
+    sums = rows.groupBy(*by, "lo", "low", "high").agg(F.concat(zero, F.array_sort(F.collect_list("r"))).alias("r"))
+    sums = scratch.write(sums, "sums")  # or the arrays are made again for each window
     # every start whose window reaches a shingle of some item
-    x = sums.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("last", F.size("r") - 1)
+    x = sums.withColumn("size", F.explode(F.array(*map(F.lit, sizes))))
     x = x.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("low") - F.col("size") + k), F.col("high"))))
-    x = x.withColumn("from", F.col("s") - F.col("lo")).withColumn("to", F.least(F.col("s") - F.col("lo") + F.col("size") - 1, F.col("last")))
-    inside = [F.col("r")[F.col("to")][f"s{g}"] - F.when(F.col("from") > 0, F.col("r")[F.greatest(F.col("from") - 1, F.lit(0))][f"s{g}"]).otherwise(F.lit(0)) for g in range(GROUPS)]
-    windows = x.select(*KEY, "size", _fingerprint(inside, F.col("to") - F.col("from") + 1).alias("p")).distinct()
+    start, end = F.col("s") - F.col("lo"), F.least(F.col("s") - F.col("lo") + F.col("size"), F.size("r") - 1)
+    # both sums are taken once, apart from what is made of them: the code that Spark makes must stay small enough to be compiled
+    x = x.select(*KEY, "size", F.explode(F.array(F.struct(F.col("r")[start].alias("a"), F.col("r")[end].alias("b"), (end - start).alias("n")))).alias("x"))
+    inside = [F.col(f"x.b.s{g}") - F.col(f"x.a.s{g}") for g in range(GROUPS)]
+    windows = x.select(*KEY, "size", _fingerprint(inside, F.col("x.n")).alias("p")).distinct()
     found = windows.withColumn("key", F.explode(_keys("p"))).join(index, ["size", "key"])
     return found.filter(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS).select(*KEY, "item").distinct()
 
@@ -132,7 +138,7 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = WORDS, percent: int = PERC
     stretches = hits.groupBy(*KEY, "c").agg(F.first("n").alias("n"), F.first("lo").alias("lo"), F.first("ws").alias("ws"), F.collect_set("hit").alias("hits"))
     at = F.transform("hits", lambda x: x["i"])
     stretches = scratch.write(stretches.withColumns({"low": F.array_min(at), "high": F.array_max(at)}), "stretches")
-    found = scratch.write(_lookup(stretches, index, sizes, k), "found")
+    found = scratch.write(_lookup(stretches, index, sizes, k, scratch), "found")
     # exact: the places where a shingle of the document lines up with one of the item, each with the weights of what it covers
     hits = scratch.write(stretches.select(*KEY, "n", F.explode("hits").alias("hit")).select(*KEY, "n", "hit.i", "hit.seed").join(weights, "seed"), "hits")
     place = [*KEY, "item", "start"]

@@ -34,7 +34,7 @@ PIVOTS, PIVOT_SIZE = 256, 8192
 #: The same for the pivots of regions.
 REGION_PIVOTS, REGION_PIVOT_SIZE = 4096, 2048
 #: Regions with more colours than CROWD get pivots of their own while they hold REGION_ROWS classes, in at most so many rounds.
-CROWD, REGION_ROWS, ROUNDS = 48, 500, 6
+CROWD, REGION_ROWS, ROUNDS = 32, 500, 6
 #: Common shingles that each task knows; one class in COMMON_OF is looked at to find them.
 COMMON, COMMON_OF, COMMON_COUNT = 100_000, 64, 3
 _SIGS = 1 << 19
@@ -224,7 +224,7 @@ def _signatures(common, sent, k: int, percent: int, buckets: int):
             m, node = (np.concatenate(x) for x in zip(*held, strict=True))
             bucket = ((m >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            m, node, bucket = m[order].astype(np.uint32), node[order], bucket[order]
+            m, node, bucket = m[order], node[order], bucket[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             end = np.append(at[1:], len(bucket))
             return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array([m[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary()), pa.array([node[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary())], ["bucket", "prints", "nodes"])
@@ -257,8 +257,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, p, q in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             prints.setdefault(b, []).append(p)
             nodes.setdefault(b, []).append(q)
-    for b in prints:
-        f, node = np.frombuffer(b"".join(prints[b]), np.uint32), np.frombuffer(b"".join(nodes[b]), np.int64)
+    for b in list(prints):
+        f, node = np.frombuffer(b"".join(prints.pop(b)), np.uint64), np.frombuffer(b"".join(nodes.pop(b)), np.int64)
         order = np.argsort(f, kind="stable")
         f, node = f[order], node[order]
         same = np.zeros(len(f) + 1, bool)
@@ -266,7 +266,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = same[1:] | same[:-1]
         f, node = f[many], node[many]
         for i in range(0, len(f), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f[i : i + 200_000]), b, np.int32)), pa.array(f[i : i + 200_000].view(np.int32)), pa.array(node[i : i + 200_000])], ["bucket", "print", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f[i : i + 200_000]), b, np.int32)), pa.array(f[i : i + 200_000].view(np.int64)), pa.array(node[i : i + 200_000])], ["bucket", "print", "node"])
 
 
 def _pairs(percent: int):
@@ -275,12 +275,12 @@ def _pairs(percent: int):
     tag: 3 a pivot of all classes, 2 a pivot of all hot classes, 1 a hot class. What was measured isn't paired again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [[_column(b, c) for c in ("bucket", "print", "node", "n", "colour", "tag")] for b in batches]
+        cols = [[_column(b, c) for c in ("print", "node", "n", "colour", "tag")] for b in batches]
         if not cols:
             return
-        bucket, f, node, n, colour, tag = (np.concatenate(x) for x in zip(*cols, strict=True))
+        f, node, n, colour, tag = (np.concatenate(x) for x in zip(*cols, strict=True))
         del cols
-        key = bucket.astype(np.int64) << 32 | f.view(np.uint32).astype(np.int64)
+        key = f  # says the bucket, too
         order = np.lexsort((colour, key))
         key, node, n, colour, tag = key[order], node[order], n[order], colour[order], tag[order]
         names, local = np.unique(node, return_inverse=True)
@@ -392,7 +392,7 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(pivots)
     sigs = texts.select("node", "text").mapInArrow(_signatures(common, sent, k, percent, buckets), "bucket int, prints binary, nodes binary")
-    shared = scratch.write(sigs.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "bucket int, print int, node long"), "shared")
+    shared = scratch.write(sigs.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "bucket int, print long, node long"), "shared")
     # a class needs so many shared ones even with the smallest partner
     live = shared.groupBy("node").agg(F.count("*").alias("c")).join(texts.select("node", "n"), "node")
     live = live.filter(f"c >= {least_shared('n', f'(({percent} * n + 99) div 100)', percent)}").select("node", "n")
