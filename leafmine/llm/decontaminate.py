@@ -24,7 +24,7 @@ WORDS, PERCENT = 5, 75
 GROUPS, LANES, WIDTH = 11, 5, 11
 #: Bits of 55 in which fingerprints may differ: 21 blocks, 13 of 3 bits and 8 of 2.
 RADIUS = 20
-BLOCKS = [(3 * b, 3) for b in range(13)] + [(39 + 2 * b, 2) for b in range(8)]
+WIDE = 13
 #: Most words of an item's part, and of the stretch of a document whose windows are laid at once; both keep a counter within its bits.
 PART, STRETCH = 256, 128
 #: The items' shingles are sent to all tasks if their hashes, 8 bytes each, take no more than so many bytes; beyond, positions are shuffled to them.
@@ -53,9 +53,10 @@ def _fingerprint(sums: list[Column], n: Column) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def _keys(p: str) -> Column:
-    """What the blocks of a fingerprint hold, each with its number."""
-    return F.array(*[F.shiftright(F.col(p), at).bitwiseAND(F.lit((1 << n) - 1)).cast("int") + 8 * b for b, (at, n) in enumerate(BLOCKS)])
+def _keyed_blocks(rows: DataFrame, p: str) -> DataFrame:
+    """rows, once for each block of the fingerprint, with key: what the block holds, and its number."""
+    at, mask = f"if(b < {WIDE}, 3 * b, 2 * b + {WIDE})", f"if(b < {WIDE}, 7, 3)"
+    return rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(RADIUS)))).withColumn("key", F.expr(f"cast(shiftright({p}, {at}) & {mask} as int) + 8 * b")).drop("b")
 
 
 def _index(items: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def _index(items: DataFrame) -> DataFrame:
     part = part.select("item", "part", F.explode(F.slice("w", lo + 1, hi - lo)).alias("word")).withColumn("h", F.xxhash64("word"))
     sums = part.groupBy("item", "part").agg(F.count("*").cast("int").alias("size"), *[F.sum(c).alias(f"s{g}") for g, c in enumerate(_counters(F.col("h")))])
     prints = sums.select("item", "size", _fingerprint([F.col(f"s{g}") for g in range(GROUPS)], F.col("size")).alias("q"))
-    return prints.select("item", "size", "q", F.explode(_keys("q")).alias("key"))
+    return _keyed_blocks(prints, "q")
 
 
 def _hits(docs: DataFrame, seeds: DataFrame, small: bool, k: int) -> DataFrame:
@@ -99,8 +100,8 @@ def _lookup(stretches: DataFrame, index: DataFrame, sizes: list[int], k: int, sc
     # both sums are taken once, apart from what is made of them: the code that Spark makes must stay small enough to be compiled
     x = x.select(*KEY, "size", F.explode(F.array(F.struct(F.col("r")[start].alias("a"), F.col("r")[end].alias("b"), (end - start).alias("n")))).alias("x"))
     inside = [F.col(f"x.b.s{g}") - F.col(f"x.a.s{g}") for g in range(GROUPS)]
-    windows = x.select(*KEY, "size", _fingerprint(inside, F.col("x.n")).alias("p")).distinct()
-    found = windows.withColumn("key", F.explode(_keys("p"))).join(index, ["size", "key"])
+    windows = x.select(*KEY, "size", _fingerprint(inside, F.col("x.n")).alias("p"))
+    found = _keyed_blocks(windows, "p").join(index, ["size", "key"])
     return found.filter(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= RADIUS).select(*KEY, "item").distinct()
 
 
