@@ -492,3 +492,22 @@ def test_pipeline_groups_that_share_a_doc_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = [(None, text("a")), (None, text("b")), (None, text("e")), (7, text("c")), (7, text("d")), (11, text("f")), (None, None), (None, ""), (13, " \n"), (13, "")]
     assert _got(corpus_pipeline.one_of_each_group(spark, docs, "")) == sorted(want, key=repr)
+
+
+def test_pipeline_stages_give_back_columns_whose_names_clash(spark):
+    """Nulls, empty texts, repeated rows and columns that are called like the stages' own; and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    names = ["k0", "k1", "k2", "k", "own", "of", "times", "score", "row", "label", "node"]
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    odd = spark.createDataFrame([(None, None, None), (None, "", "s"), (7, "words of an odd row", None), (7, "words of an odd row", None)], real.schema)
+    docs = real.union(odd).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(f"own {n}" for n in names)], name
+        assert not stage(spark, docs.limit(0), sf).count(), name
