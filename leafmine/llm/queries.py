@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmine.llm import chat_tree, decontaminate, jaccard_join, line_dedup, mixing, quality, repeats, secret_ledger, token_output, winnow
+from leafmine.llm import chat_tree, decontaminate, hard_negatives, jaccard_join, language, line_dedup, merkle, mixing, quality, repeats, secret_ledger, token_output, winnow
 from leafmine.llm.scratch import Scratch
 
 
@@ -88,9 +88,28 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_tree, op2_token_output, op3_jaccard_join, op4_decontaminate, op5_secret_ledger, op6_winnow, op7_quality, op8_mix, op9_line_dedup, op10_repeats)}
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents")).withColumnRenamed("proof", "proof_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_chat_tree, op2_token_output, op3_jaccard_join, op4_decontaminate, op5_secret_ledger, op6_winnow, op7_quality, op8_mix, op9_line_dedup, op10_repeats, op11_language, op12_merkle, op13_hard_negatives)
+}
 
 _ESCAPED = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"
+# CRC-32 of the id's digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: cast(ascii(ch) as bigint))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), cast([0, 0, 0, 0, 0, 0, 0, 0] as bigint[])), lambda x, z: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))), 4294967295)"""
 
 SQL: dict[str, str] = {
     "op1_chat_tree": f"""
@@ -141,4 +160,37 @@ SQL: dict[str, str] = {
             from d cross join unnest(range(0, len(d.l))) j(j) left join g on g.doc_id is not distinct from d.doc_id and g.t = d.t and g.j = j.j)
         select doc_id, n_lines, count(*) filter (where gone) n_removed, sha256(coalesce(string_agg(line, chr(10) order by j) filter (where not gone), '')) kept_sha256
         from k group by doc_id, t, n_lines""",
+    "op12_merkle": r"""
+        with recursive f as (select doc_id, source, text, case when doc_id is null then '-' else octet_length(encode(cast(doc_id as varchar))) || ':' || doc_id end || case when source is null then '-' else octet_length(encode(source)) || ':' || source end
+                || case when lang is null then '-' else octet_length(encode(lang)) || ':' || lang end || case when n_chars is null then '-' else octet_length(encode(cast(n_chars as varchar))) || ':' || n_chars end head,
+                replace(text, chr(10), '') less from documents),
+        b as (select doc_id, source, sha256(head || case when text is null then '-' else octet_length(encode(text)) || ':' || text end) leaf, sha256(head || case when less is null then '-' else octet_length(encode(less)) || ':' || less end) other from f),
+        c as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 r, row_number() over () id from b),
+        low as (
+            select 0 l, source, r, leaf h, count(*) over (partition by source) n from c
+            union all select l + 1, source, r // 3, sha256(string_agg(h, '' order by r)), (n + 2) // 3 from low where n > 1 group by l, source, r // 3, n),
+        subs as (select source, h sub, row_number() over (order by source nulls first) - 1 s from low where n = 1),
+        high as (
+            select 0 l, s r, sub h, count(*) over () n from subs
+            union all select l + 1, r // 3, sha256(string_agg(h, '' order by r)), (n + 2) // 3 from high where n > 1 group by l, r // 3, n),
+        path as (
+            select id, l, coalesce(string_agg(h, '' order by low.r) filter (where low.r < c.r // cast(3**l as bigint)), '') p, coalesce(string_agg(h, '' order by low.r) filter (where low.r > c.r // cast(3**l as bigint)), '') q
+            from c join low on low.source is not distinct from c.source and low.r // 3 = c.r // cast(3**(l + 1) as bigint) where n > 1 group by id, l
+            union all
+            select id, 1000 + l, coalesce(string_agg(h, '' order by high.r) filter (where high.r < s // cast(3**l as bigint)), ''), coalesce(string_agg(h, '' order by high.r) filter (where high.r > s // cast(3**l as bigint)), '')
+            from c join subs on subs.source is not distinct from c.source join high on high.r // 3 = s // cast(3**(l + 1) as bigint) where n > 1 group by id, l),
+        steps as (select id, list(struct_pack(p := p, q := q) order by l) e from path group by id),
+        t as (select c.*, case when doc_id is not null and {crc} % 2 = 0 then other else leaf end changed, coalesce(e, []) e from c left join steps using (id)),
+        g as (select id, 0 k, changed acc from t union all select g.id, k + 1, sha256(e[k + 1].p || acc || e[k + 1].q) from g join t using (id) where k < len(e))
+        select doc_id, leaf, sub subroot, (select h from high where n = 1) root, sha256(array_to_string(list_transform(e, lambda x: x.p || x.q), '')) proof_sha256, acc folded_root, acc = (select h from high where n = 1) verified
+        from t join subs on subs.source is not distinct from t.source join g on g.id = t.id and k = len(e)""".replace("{crc}", _CRC),
+    "op13_hard_negatives": r"""
+        with x as (select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) label, list_transform(embedding, lambda y: floor(256 * cast(y as double))) v from embeddings
+            where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0),
+        v as (select distinct on (vec_id) * from x order by vec_id, label, v),
+        s as (select a.vec_id a, r.vec_id r, a.label = r.label same, cast(list_dot_product(a.v, r.v) as bigint) score from v a join v r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+        p as (select * from s where same qualify row_number() over (partition by a order by score desc, r) <= 5),
+        n as (select p.a, p.r positive, p.score positive_score, s.r negative, s.score negative_score, row_number() over (partition by p.a, p.r order by s.score desc, s.r) k
+            from p join s on p.a = s.a and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+        select a anchor_id, positive positive_id, cast(k as int) rank, negative negative_id, positive_score, negative_score from n where k <= 5""",
 }
