@@ -39,12 +39,6 @@ def is_junk_line(c: Column) -> Column:
     return (F.coalesce(F.length(c), F.lit(0)) == 0) | c.rlike(r"[\x{0900}-\x{097F}]") | ((F.length(c) >= 15) & (solid / F.length(c) < 0.35))
 
 
-def amount_mentions(c: Column) -> Column:
-    """VP1, built-in form: the values of all amounts that carry a currency mark, "/-" or a multiplier, by first appearance."""
-    pattern = rf"{I}(?<![-/.:#\p{{L}}\p{{N}}])(?:{R.CURRENCY}\s+)?\d[\d,]*(?:\.\d+)?\s*(?:/-|{R.MULTIPLIER})|{I}{R.CURRENCY}\s+\d[\d,]*(?:\.\d+)?"
-    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda m: money_number(m))
-
-
 def first_date(c: Column) -> Column:
     """VP3: the first date as written, empty if none."""
     return strip(F.regexp_extract(c, I + R.DATE, 0))

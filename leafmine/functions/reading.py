@@ -7,14 +7,16 @@ them. What expressions can say is in columns.py.
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, islice, takewhile
+from operator import or_
+
+import regex
 
 from leafmine import rules as R
+from leafmine.functions.needles import Finder
 
 _AMOUNT = re.compile(rf"({R.CURRENCY})?\s*({R.NUMBER})\s*(/-)?\s*({R.MULTIPLIER})?", re.I)
-#: Signs against an amount in "what stands before, digits, what follows": a part of an id or of a word, a
-#: leading zero, more than twelve digits, a percentage.
-_NO_AMOUNT = re.compile(r"\A(?:[-/.:#]|[^\W_])\0|\A.?\0(?:0\d|\d{13})|\0\s*%", re.S)
 _FILE_NAME = re.compile(R.FILE_NAME, re.I)
 _DATE = re.compile(R.DATE, re.I)
 _NIL = re.compile(R.NIL, re.I)
@@ -50,11 +52,16 @@ def figures(text: str, bare: bool) -> Iterator[tuple[int, float, str]]:
     within bounds, and if they are neither years nor next to a file name."""
     for m in _AMOUNT.finditer(text):
         mark, number, dash, unit = m.groups()
-        at, digits = m.start(2), number.replace(",", "")
-        if _NO_AMOUNT.search(f"{text[at - 1 : at]}\0{digits.partition('.')[0]}\0{text[m.end() : m.end() + 2]}"):
+        digits = number.replace(",", "")
+        whole, before = digits.partition(".")[0], text[max(0, m.start(2) - 1) : m.start(2)]
+        if len(whole) > 12 or (len(whole) > 1 and whole[0] == "0"):
+            continue
+        if before.isalnum() or (before and before in "-/.:#"):  # a part of an id or of a word
+            continue
+        if text[m.end() : m.end() + 2].lstrip().startswith("%"):
             continue
         value = float(digits) * (R.TIMES.get(unit.lower().rstrip("."), 1) if unit else 1)
-        if mark or dash or unit or (bare and BARE_LEAST <= value <= BARE_MOST and value not in YEARS and not _FILE_NAME.search(text, max(0, at - 60), m.end() + 30)):
+        if mark or dash or unit or (bare and BARE_LEAST <= value <= BARE_MOST and value not in YEARS and not _FILE_NAME.search(text, max(0, m.start(2) - 60), m.end() + 30)):
             yield m.start(), value, f"Rs. {value:,.{0 if value.is_integer() else 2}f}  [as written: {m[0].strip()}]"
 
 
@@ -157,23 +164,17 @@ class Page:
 # --- labels --------------------------------------------------------------------------------------------------------
 
 
-def needle(pattern: str) -> str:
-    """A word that every match of a pattern contains, empty if none is sure: the longest outside groups and classes."""
-    left, before = pattern, ""
-    while left != before:
-        left, before = re.sub(r"\((?:\?:)?[^()]*\)[?*]?", " ", left), left
-    left = re.sub(r"\[[^\]]*\][?*+]?|\\.[?*+]?|[A-Za-z][?*]|\{[^}]*\}", " ", left)
-    return "" if "|" in left else max(re.findall("[A-Za-z]+", left), key=len, default="").casefold()
-
-
 class Pattern:
-    """A pattern with a word that spares most pages the search."""
+    """A pattern that is searched only where a finder has seen one of its words."""
+
+    def __init__(self, pattern: str, finder: Finder, flags: int = re.I):
+        self.find, self.bit = re.compile(pattern, flags), finder.add(pattern)
 
-    def __init__(self, pattern: str):
-        self.find, self.word = re.compile(pattern, re.I), needle(pattern)
+    def hits(self, text: str, present: int) -> Iterator[re.Match]:
+        return self.find.finditer(text) if present & self.bit else iter(())
 
-    def hits(self, text: str, folded: str) -> Iterator[re.Match]:
-        return self.find.finditer(text) if self.word in folded else iter(())
+    def first(self, text: str, present: int) -> re.Match | None:
+        return self.find.search(text) if present & self.bit else None
 
 
 def money(window: str, bare: bool) -> tuple | None:
@@ -200,24 +201,34 @@ def _text(field: str):
     return read
 
 
+def after_label(text: str, label: re.Match, size: int = 150) -> str:
+    """VP13: the first date behind a label, else a nil phrase, else empty."""
+    window = text[label.end() : label.end() + size]
+    day, nil = _DATE.search(window), _NIL.search(window)
+    return day[0].strip() if day else nil[0].strip().title() if nil else ""
+
+
 class LabelScanner:
     """RL1: what the labels of a page say. every: all readings; else of each field the one that wins on its page."""
 
     COLUMNS = ["field", "loose", "pat_ix", "pos", "weak", "value", "conf", "numeric", "raw"]
 
-    def __init__(self, rules: R.RuleSet, every: bool = False):
+    def __init__(self, rules: R.RuleSet, every: bool = False, finder: Finder | None = None):
         kinds = {f: k for f, _, k in R.FIELDS}
         read = {"money": lambda f: money, "date": lambda f: date, "text": _text}
-        self.every = every
-        self.fields = [(f, kinds[f], read[kinds[f]](f), [(i, Pattern(p), p in rules.bare_ok) for i, p in enumerate(ps)]) for f, ps in rules.labels.items()]
+        self.every, self.finder, self.fields = every, finder or Finder(), []
+        for f, wordings in rules.labels.items():
+            patterns = [(i, Pattern(p, self.finder), p in rules.bare_ok) for i, p in enumerate(wordings)]
+            bits = reduce(or_, (p.bit for _, p, _ in patterns), 0)
+            self.fields.append((f, kinds[f], read[kinds[f]](f), bits, patterns))
 
-    def _readings(self, page: Page, folded: str, kind: str, read, patterns: list) -> Iterator[tuple]:
+    def _readings(self, page: Page, present: int, kind: str, read, patterns: list) -> Iterator[tuple]:
         """In the order that decides: labels that head a line, then the others, by label and place. An anchored hit of a
         label that takes bare numbers is read again without them."""
         size, confs = (MONEY_WINDOW if kind == "money" else TEXT_WINDOW), ("medium", "low") if kind == "text" else ("high", "medium")
         later = []
         for ix, pattern, bare in patterns:
-            for m in pattern.hits(page.text, folded):
+            for m in pattern.hits(page.text, present):
                 window = page.text[m.end() : m.end() + size].lstrip(" \t:/|.-–—")
                 anchored = page.heads(m.start(), m.end())
                 if not anchored or (kind == "money" and bare):
@@ -227,11 +238,14 @@ class LabelScanner:
         for ix, m, window in later:
             yield True, ix, m, read(window, False), confs[1]
 
-    def __call__(self, text: str) -> Iterator[tuple]:
-        page, folded = Page(text), text.casefold()
-        for field, kind, read, patterns in self.fields:
+    def __call__(self, text: str, present: int) -> Iterator[tuple]:
+        page = None
+        for field, kind, read, bits, patterns in self.fields:
+            if not present & bits:
+                continue
+            page = page or Page(text)
             second = None
-            for loose, ix, m, got, conf in self._readings(page, folded, kind, read, patterns):
+            for loose, ix, m, got, conf in self._readings(page, present, kind, read, patterns):
                 if got is None:
                     continue
                 value, numeric, weak = got
@@ -253,14 +267,15 @@ class SectionScanner:
 
     COLUMNS = ["field", "pat_ix", "pos", "len", "most", "value", "conf"]
 
-    def __init__(self, rules: R.RuleSet, fields: tuple, most: int = 4000, least: int = 200, stop: str = R.NEXT_HEADING):
-        self.headings = [(f, i, Pattern(p)) for f in fields for i, p in enumerate(rules.headings[f])]
+    def __init__(self, rules: R.RuleSet, fields: tuple, most: int = 4000, least: int = 200, stop: str = R.NEXT_HEADING, finder: Finder | None = None):
+        self.finder = finder or Finder()
+        self.headings = [(f, i, Pattern(p, self.finder)) for f in fields for i, p in enumerate(rules.headings[f])]
         self.most, self.least, self.stop = most, least, re.compile(stop)
 
-    def __call__(self, text: str) -> Iterator[tuple]:
-        page, folded = None, text.casefold()
+    def __call__(self, text: str, present: int) -> Iterator[tuple]:
+        page = None
         for field, ix, pattern in self.headings:
-            for m in pattern.hits(text, folded):
+            for m in pattern.hits(text, present):
                 page = page or Page(text)
                 if page.heads(m.start(), m.end()):
                     body = page.section(m.end(), self.stop, self.least, self.most)
@@ -269,64 +284,129 @@ class SectionScanner:
                     break
 
 
-_RATE, _CAP = re.compile(R.PENALTY_RATE, re.I | re.S), re.compile(R.PENALTY_CAP, re.I)
+_CAP = re.compile(R.PENALTY_CAP, re.I)
 _WEIGHTS = [(w, re.compile(p, re.I)) for w, p in R.RATE_WEIGHTS]
 
 
-def penalty_sentences(text: str) -> Iterator[tuple]:
+class RateScanner:
     """RL5: pos, score, value, conf of each sentence that states a rate."""
-    for m in _RATE.finditer(text):
-        body = clean(m[0])
-        cap = _CAP.search(text, m.start(), m.start() + 1200)
-        score = sum(w for w, p in _WEIGHTS if p.search(body)) + R.CAP_WEIGHT * (cap is not None or "maximum of" in body.lower())
-        if len(body) < 40 or score <= 0:
-            continue
-        told = "" if cap is None or "maximum" in body.lower() else f"  (capped at {cap[1]}% of the {cap[2]})"
-        lost = "\ufffd" in body
-        note = R.LOST_RATE_NOTE if lost else ""
-        yield m.start(), score, (body + told).replace("\ufffd", "[?]") + note, "low" if lost else "high"
+
+    COLUMNS = ["pos", "score", "value", "conf"]
+
+    def __init__(self, finder: Finder | None = None):
+        self.finder = finder or Finder()
+        self.rate = Pattern(R.PENALTY_RATE, self.finder, re.I | re.S)
+
+    def __call__(self, text: str, present: int) -> Iterator[tuple]:
+        for m in self.rate.hits(text, present):
+            yield from _rated(text, m)
+
+
+def _rated(text: str, m: re.Match) -> Iterator[tuple]:
+    body = clean(m[0])
+    cap = _CAP.search(text, m.start(), m.start() + 1200)
+    score = sum(w for w, p in _WEIGHTS if p.search(body)) + R.CAP_WEIGHT * (cap is not None or "maximum of" in body.lower())
+    if len(body) < 40 or score <= 0:
+        return
+    told = "" if cap is None or "maximum" in body.lower() else f"  (capped at {cap[1]}% of the {cap[2]})"
+    lost = "\ufffd" in body
+    note = R.LOST_RATE_NOTE if lost else ""
+    yield m.start(), score, (body + told).replace("\ufffd", "[?]") + note, "low" if lost else "high"
+
+
+MARK = "\n<<<FILE:"
+
+
+def cut(text: str, at: int, size: int) -> int:
+    """AI2: where a piece of at most `size` that begins at a place ends: before the last page mark of its last 40 % if there is one."""
+    found = text.rfind(MARK, at + int(size * 0.6), at + size)
+    return found if found >= 0 else min(at + size, len(text))
 
 
 def chunks(text: str, size: int, most: int) -> list[str]:
-    """AI2: pieces of at most `size`, cut before the last page mark of the last 40 % if there is one; the rest is left out."""
+    """AI2: pieces of a text; a text of at most `size` is one, what is left after `most` pieces is left out."""
     if len(text) <= size:
         return [text]
     out, at = [], 0
     while at < len(text) and len(out) < most:
-        cut = text.rfind("\n<<<FILE:", at + int(size * 0.6), at + size)
-        cut = cut if cut >= 0 else min(at + size, len(text))
-        out.append(text[at:cut])
-        at = cut
+        end = cut(text, at, size)
+        out.append(text[at:end])
+        at = end
     return out
 
 
+class Cutter:
+    """AI2 over a text that comes in parts: holds no more than a piece and a part. All pieces together are those of chunks().
+
+    most: pieces; chars: characters that count."""
+
+    def __init__(self, size: int, most: int, chars: int | None = None):
+        self.size, self.most, self.chars = size, most, chars
+        self.held, self.made, self.taken = "", 0, 0
+
+    def _pieces(self, more: int) -> Iterator[str]:
+        """Pieces while more than `more` characters are held."""
+        at = 0
+        while len(self.held) - at > more and self.made < self.most:
+            end = cut(self.held, at, self.size)
+            self.made += 1
+            yield self.held[at:end]
+            at = end
+        self.held = self.held[at:]
+
+    def add(self, part: str) -> Iterator[str]:
+        if self.chars is not None:
+            part = part[: self.chars - self.taken]
+            self.taken += len(part)
+        if self.made < self.most:
+            self.held += part
+            yield from self._pieces(self.size)
+
+    def end(self) -> Iterator[str]:
+        if self.made:
+            yield from self._pieces(0)
+        else:  # all of it fits in one piece
+            yield self.held
+
+
 class PageScanner:
-    """All that one look at a page finds, as rows (kind, and the columns of that kind):
-    page facts, labels, sections of scope and penalty, penalty rates."""
+    """All that one look at a page finds, as rows (kind, and the columns of that kind): page facts, labels, sections of scope and
+    penalty, penalty rates.
+
+    Facts: the portal's id, the guarantee's share, bid opening and meeting (RL11), whether it names the standing conditions, is of a summary
+    sheet, names the heading of eligibility or ends inside one (named), and its length as RL3 counts it (size)."""
 
-    COLUMNS = ["kind", *LabelScanner.COLUMNS, "len", "most", "score", "id", "share", "standing", "named", "sheet"]
+    COLUMNS = ["kind", *LabelScanner.COLUMNS, "len", "most", "score", "id", "share", "opening", "meeting", "standing", "named", "sheet", "size"]
+    #: Characters at a page's end in which a heading can begin that the next page ends.
+    TAIL = 120
 
     def __init__(self, rules: R.RuleSet):
-        self.labels = LabelScanner(rules)
-        self.sections = (SectionScanner(rules, ("scope_of_work",)), SectionScanner(rules, ("penalty",), 4000, 0))
-        self.named = [Pattern(p) for p in rules.headings["eligibility"]]
-        self.standing = [Pattern(p) for p in R.STANDING.split("|")[:4]]
-        self.standing = [*self.standing, Pattern("|".join(R.STANDING.split("|")[4:]))]
-        self.sheet = [Pattern(p) for p in R.SUMMARY_MARK.split("|")]
-        self.id, self.share = Pattern(R.PORTAL_ID), Pattern(R.GUARANTEE)
-
-    def __call__(self, text: str) -> Iterator[tuple]:
-        folded = text.casefold()
-        any_of = lambda patterns: any(next(p.hits(text, folded), None) for p in patterns)
-        first = lambda p: (m := next(p.hits(text, folded), None)) and m[1] or ""
-        none = (None,) * 9
-        yield "page", *none, None, None, None, first(self.id), first(self.share), any_of(self.standing), any_of(self.named), any_of(self.sheet)
-        facts = (None,) * 5
-        for row in self.labels(text):
+        self.finder = f = Finder()
+        self.labels = LabelScanner(rules, finder=f)
+        self.sections = (SectionScanner(rules, ("scope_of_work",), finder=f), SectionScanner(rules, ("penalty",), 4000, 0, finder=f))
+        self.rates = RateScanner(f)
+        self.named = [Pattern(p, f) for p in rules.headings["eligibility"]]
+        self.broken = regex.compile("|".join(rules.headings["eligibility"]), regex.I)
+        self.standing = [Pattern(p, f) for p in R.STANDING]
+        self.sheet = Pattern(R.SUMMARY_MARK, f)
+        self.id, self.share, self.opening, self.meeting = (Pattern(p, f) for p in (R.PORTAL_ID, R.GUARANTEE, R.OPENING, R.PRE_BID))
+
+    def _goes_on(self, text: str) -> bool:
+        m = self.broken.search(text[-self.TAIL :] + "\n", partial=True)
+        return m is not None and m.partial and m.end() > m.start()
+
+    def __call__(self, text: str, present: int) -> Iterator[tuple]:
+        any_of = lambda patterns: any(p.first(text, present) for p in patterns)
+        group = lambda p: (m := p.first(text, present)) and m[1] or ""
+        said = lambda p: after_label(text, m) if (m := p.first(text, present)) else ""
+        size = sum(len(x.rstrip()) + 1 for x in text.split("\n"))
+        none = (None,) * 12
+        yield "page", *none, group(self.id), group(self.share), said(self.opening), said(self.meeting), any_of(self.standing), any_of(self.named) or self._goes_on(text), any_of([self.sheet]), size
+        facts = (None,) * 8
+        for row in self.labels(text, present):
             yield "label", *row, None, None, None, *facts
         for scanner in self.sections:
-            for field, ix, pos, size, most, value, conf in scanner(text):
-                yield "section", field, None, ix, pos, None, value, conf, None, None, size, most, None, *facts
-        if "damage" in folded or "penalt" in folded:
-            for pos, score, value, conf in penalty_sentences(text):
-                yield "rate", None, None, None, pos, None, value, conf, None, None, None, None, score, *facts
+            for field, ix, pos, length, most, value, conf in scanner(text, present):
+                yield "section", field, None, ix, pos, None, value, conf, None, None, length, most, None, *facts
+        for pos, score, value, conf in self.rates(text, present):
+            yield "rate", None, None, None, pos, None, value, conf, None, None, None, None, score, *facts

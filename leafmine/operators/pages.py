@@ -5,17 +5,26 @@ from pyspark.sql import functions as F
 
 from leafmine import rules as R
 from leafmine.functions import columns as C
+from leafmine.scratch import Scratch
 
 
 def choose_page_text(decoded: DataFrame, least: int = 60, most_ocr: int = 60) -> DataFrame:
     """PG2: tender, file, page, text, ocr from decoded pages (text_layer, ocr_text). Recognised text is used where the text
-    layer is short, recognition found more, and fewer than most_ocr pages of the file used it before; empty pages go."""
+    layer is short, recognition found more, and fewer than most_ocr pages of the file used it before; empty pages go.
+
+    Of each file with more such pages than most_ocr the number of the first one too many is looked up, from page numbers alone; texts are
+    neither sorted nor moved, but for those pages of these files. decoded is read twice: it should be a written table."""
     layer, seen = C.strip(F.coalesce("text_layer", F.lit(""))), C.strip(F.coalesce("ocr_text", F.lit("")))
-    d = decoded.withColumn("fits", (F.length(layer) < least) & (F.length(seen) > F.length(layer)))
-    rank = F.sum(F.col("fits").cast("int")).over(Window.partitionBy("tender", "file").orderBy("page"))
-    d = d.withColumn("ocr", F.col("fits") & (rank <= most_ocr))
-    d = d.select("tender", "file", "page", C.clean_text(F.when(F.col("ocr"), F.col("ocr_text")).otherwise(F.coalesce("text_layer", F.lit("")))).alias("text"), "ocr")
-    return d.filter("text <> ''")
+    d = decoded.select("tender", "file", "page", "text_layer", "ocr_text", ((F.length(layer) < least) & (F.length(seen) > F.length(layer))).alias("fits"))
+    order = Window.partitionBy("tender", "file").orderBy("page")
+    over = d.filter("fits").select("tender", "file", "page").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most_ocr + 1)
+    over = Scratch(decoded.sparkSession, "ocr").write(over.filter(F.col("r") == most_ocr + 1).select("tender", "file", F.col("page").alias("_over")), "over")
+    text = lambda c: C.clean_text(F.coalesce(c, F.lit("")))
+    few = d.filter("not fits").select("tender", "file", "page", text("text_layer").alias("text"), F.lit(False).alias("ocr"))
+    fits = d.filter("fits").join(over.hint("shuffle_hash"), ["tender", "file"], "left") if over.limit(1).count() else d.filter("fits").withColumn("_over", F.lit(None).cast("int"))
+    used = F.col("_over").isNull() | (F.col("page") < F.col("_over"))
+    many = fits.select("tender", "file", "page", F.when(used, text("ocr_text")).otherwise(text("text_layer")).alias("text"), used.alias("ocr"))
+    return few.union(many).filter("text <> ''")
 
 
 def _in_order(*cols: str) -> Column:
@@ -49,7 +58,7 @@ def is_boilerplate(hits: Column, pages: Column) -> Column:
 def boilerplate_flags(pages: DataFrame) -> DataFrame:
     """PG6: tender, file, boilerplate: two of a file's first three pages name the standing conditions, or one in a file of 50
     or more. Page texts aren't shuffled: only numbers and hits are."""
-    hits = pages.select("tender", "file", "page", F.coalesce("text", F.lit("")).rlike(C.I + R.STANDING).alias("hit"))
+    hits = pages.select("tender", "file", "page", F.coalesce("text", F.lit("")).rlike(C.I + "|".join(R.STANDING)).alias("hit"))
     order = Window.partitionBy("tender", "file").orderBy("page")
     first = hits.withColumn("r", F.row_number().over(order))
     flags = first.groupBy("tender", "file").agg(F.count("*").alias("n"), F.count_if(F.col("hit") & (F.col("r") <= 3)).alias("found"))

@@ -8,6 +8,7 @@ from leafmine.functions import columns as C
 from leafmine.functions import parsed, reading
 from leafmine.operators import answers as A
 from leafmine.operators import candidates as K
+from leafmine.operators import outputs as O
 from leafmine.operators import pages as P
 from leafmine.operators import review as V
 from leafmine.operators import winners as W
@@ -169,26 +170,34 @@ def test_page_text_stays_out_of_the_winners_shuffle(spark):
             assert "text#" not in line
 
 
-def test_slots(spark):
-    """Decoder and answer slots, and chunks that flow through a model into the merge."""
+def test_slots(spark, tmp_path):
+    """Decoder and answer slots, and chunks that flow through a model into the merge. A file that can't be decoded is its own loss."""
     import pandas as pd
 
-    files = spark.createDataFrame([("t", "a.bin", b"one|two"), ("t", "b.bin", b"")], "tender string, file string, content binary")
+    for name, content in (("a.bin", b"one|two"), ("b.bin", b""), ("c.bin", b"one|broken"), ("d.exe", b"x")):
+        (tmp_path / name).write_bytes(content)
+    files = spark.createDataFrame([("t", p.name, p.suffix, p.stat().st_size, str(p)) for p in sorted(tmp_path.iterdir())], "tender string, file string, suffix string, length long, path string")
 
-    def decoder(frames):
-        for f in frames:
-            rows = [(t, n, i + 1, x, None) for t, n, c in zip(f["tender"], f["file"], f["content"], strict=True) for i, x in enumerate(bytes(c).decode().split("|")) if x]
-            yield pd.DataFrame(rows, columns=["tender", "file", "page", "text_layer", "ocr_text"])
+    def decoder(content):
+        for i, x in enumerate(content.decode().split("|")):
+            if x == "broken":
+                raise ValueError("no such page")
+            if x:
+                yield i + 1, x, None
 
-    pages = P.choose_page_text(S.decode(files, decoder, "tender string, file string, page int, text_layer string, ocr_text string"))
+    decoded = S.decode(files, {".bin": decoder})
+    assert sorted((r.file, r.page, r.text_layer, r.error) for r in decoded.collect()) == [("a.bin", 1, "one", None), ("a.bin", 2, "two", None), ("c.bin", None, None, "ValueError: no such page")]
+    pages = P.choose_page_text(decoded.filter("error is null"))
     assert sorted((r.file, r.page, r.text) for r in pages.collect()) == [("a.bin", 1, "one"), ("a.bin", 2, "two")]
+    docs = {r.file: (r.pages, r.note) for r in O.documents_read(files, pages, decoded.filter("error is not null")).collect()}
+    assert docs["a.bin"] == (2, "") and docs["c.bin"] == (0, "no text extracted - check the file (ValueError: no such page)") and docs["b.bin"] == (0, "no text extracted - check the file")
 
     def model(frames):
         for f in frames:
             body = ['{"fields": {"emd": {"value": "%d", "confidence": "high"}}}' % len(x) for x in f["text"]]
             yield pd.DataFrame({"tender": f["tender"], "chunk": f["chunk"], "provider": "one", "json": body})
 
-    chunks = A.chunk_corpus(A.corpus(pages.withColumn("boilerplate", F.lit(False)), most=70), 70, 1)
+    chunks = A.corpus_chunks(pages, pages.selectExpr("tender", "file", "false boilerplate").distinct(), 70, 1)
     text = chunks.first().text
     assert text.startswith("<<<FILE: a.bin | PAGE: 1>>>\none\n\n<<<FILE") and len(text) <= 70
     got = A.merge_answers(A.answer_rows(A.pick_provider_answer(A.answer(chunks, model), ["one"]))).collect()
