@@ -23,6 +23,7 @@ from leafmine.plans import extraction as X
 from leafmine.plans import job as J
 from leafmine.scratch import Scratch
 from leafmine.sources import files as S
+from leafmine.sources.snapshots import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -770,6 +771,25 @@ def in4(spark, d):
     return N.update_cache(reuse, new).select("tender", "input_hash")
 
 
+# two runs and one that broke off before its manifest: every sixth tender is gone in the second, every fourth is newer
+@_query("in4_snapshots", """select cast(o_orderkey as varchar) tender, case when o_orderkey % 4 = 0 then 2 else 1 end seen, case when o_orderkey % 4 = 0 then 'v2' else 'v1' end input_hash, cast(2 as int) as version from orders where o_orderkey % 6 <> 5""")
+def in4_snapshots(spark, d):
+    root = f"{Scratch(spark, 'store').root}/store"
+    o = _t(spark, d, "orders").selectExpr("cast(o_orderkey as string) tender", "o_orderkey k")
+    for run in (1, 2, 3):
+        store = Store(spark, root)  # nothing but the folder lasts from run to run
+        base = store.snapshot()
+        was = store.read("rows", base, "tender string, seen int, input_hash string")
+        now = o.filter(f"{run} = 1 or k % 6 <> 5").selectExpr("tender", f"if(k % 4 = 0 and {run} > 1, 'v{run}', 'v1') input_hash")
+        kept = was.join(now, ["tender", "input_hash"], "left_semi")
+        rows = kept.unionByName(now.join(was, ["tender", "input_hash"], "left_anti").withColumn("seen", F.lit(run)))
+        new = store.write({"rows": rows.select("tender", "seen", "input_hash")}, base)
+        if run < 3:
+            store.commit(new)
+    newest = Store(spark, root).snapshot()
+    return Store(spark, root).read("rows", newest, "tender string, seen int, input_hash string").withColumn("version", F.lit(newest.version))
+
+
 # --- whole workloads ------------------------------------------------------------------------------------------------
 
 
