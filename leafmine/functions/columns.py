@@ -99,12 +99,19 @@ def _word_list(names) -> str:
 
 
 def split_city_state(address: Column, gazetteer: dict[str, str] | None = None) -> Column:
-    """VP12: struct(city, state) of an address; empty strings if not found."""
+    """VP12: struct(city, state) of an address; empty strings if not found. The gazetteer becomes one pattern and one map in the plan;
+    see operators.places for one of any size."""
     gazetteer = gazetteer or R.default_gazetteer()
     text = strip(F.coalesce(address, F.lit("")))
-    state_re, city_re = rf"{I}\b({_word_list(R.STATES)})\b", rf"{I}\b({_word_list(gazetteer)})\b"
-    state, found = F.regexp_extract(text, state_re, 1), F.regexp_extract(text, city_re, 1)
+    found = F.regexp_extract(text, rf"{I}\b({_word_list(gazetteer)})\b", 1)
     known = F.create_map(*[F.lit(x) for kv in gazetteer.items() for x in kv])
+    return city_and_state(text, found, known[F.upper(found)])
+
+
+def city_and_state(text: Column, found: Column, of: Column) -> Column:
+    """VP12 once the first city of a text is found (empty: none) and its state (of, may be null): the state that the text names, else that of
+    the city; a city in capitals in lower case; without one, what stands before the state."""
+    state = F.regexp_extract(text, rf"{I}\b({_word_list(R.STATES)})\b", 1)
     named = F.when(found == F.upper(found), F.concat(F.upper(F.substring(found, 1, 1)), F.lower(F.substring(found, F.lit(2), F.length(found))))).otherwise(found)
     before = F.regexp_replace(F.regexp_extract(text, rf"(?iuUds)^(.*?)\b(?:{_word_list(R.STATES)})\b", 1), "[ ,-]+$", "")
     pieces = F.reverse(F.split(before, r"[,\-]"))
@@ -113,7 +120,7 @@ def split_city_state(address: Column, gazetteer: dict[str, str] | None = None) -
     last = F.when(F.size(full) > 0, F.element_at(full, 1)).otherwise(F.array().cast("array<string>"))
     near = F.initcap(F.array_join(F.slice(last, F.greatest(F.size(last) - 1, F.lit(1)), F.lit(2)), " "))
     city = F.when(found != "", named).when(state != "", near).otherwise(F.lit(""))
-    return F.struct(city.alias("city"), F.when(state != "", state).when(found != "", F.coalesce(known[F.upper(found)], F.lit(""))).otherwise(F.lit("")).alias("state"))
+    return F.struct(city.alias("city"), F.when(state != "", state).when(found != "", F.coalesce(of, F.lit(""))).otherwise(F.lit("")).alias("state"))
 
 
 def value_after_label(c: Column, label: str, window: int = 150) -> Column:

@@ -18,6 +18,7 @@ from leafmine.operators import outputs as O
 from leafmine.operators import pages as P
 from leafmine.operators import review as V
 from leafmine.operators import winners as W
+from leafmine.operators.places import split_places
 from leafmine.operators.reconcile import failed, reconcile
 from leafmine.plans import extraction as X
 from leafmine.plans import job as J
@@ -259,6 +260,20 @@ def vp12(spark, d):
     return x.select("o_orderkey", C.split_city_state(F.col("a")).alias("p")).select("o_orderkey", "p.city", "p.state")
 
 
+# places from parts and customers; an address names two of them, of which the first and longest counts
+@_query("vp12_places_table", """
+    with t as (select p_partkey k, 'Upper Town-' || p_partkey || ' East' city, p_brand state from part), n as (select count(*) n from part)
+    select o_orderkey, case o_orderkey % 3 when 0 then t.city when 1 then t.k || ' Ward' else c_name end city, case o_orderkey % 3 when 0 then t.state when 1 then 'Kerala' else c_mktsegment end state
+    from orders cross join n join t on t.k = o_orderkey % n.n join customer on c_custkey = o_custkey""")
+def vp12_places(spark, d):
+    part, customer = _t(spark, d, "part"), _t(spark, d, "customer")
+    towns = part.selectExpr("concat('Upper Town-', p_partkey, ' East') city", "p_brand state").union(part.selectExpr("concat('UPPER TOWN-', p_partkey)", "'-'"))
+    places = towns.union(customer.selectExpr("c_name", "c_mktsegment"))
+    o = _t(spark, d, "orders").withColumn("k", F.col("o_orderkey") % F.lit(part.count())).join(customer, F.col("c_custkey") == F.col("o_custkey"))
+    x = o.selectExpr("o_orderkey", "case o_orderkey % 3 when 0 then concat('Plot 7, Upper Town-', k, ' East, ', c_name) when 1 then concat('the Town-', k, ' Ward, Kerala') else concat(c_name, ', upper town-', k) end a")
+    return split_places(x, "a", places).select("o_orderkey", "place.city", "place.state")
+
+
 @_query("vp13_value_after_label", f"""select o_orderkey, case o_orderkey % 3 when 0 then {_D_SQL} when 1 then 'Not Applicable' else '' end "value" from orders""")
 def vp13(spark, d):
     x = _t(spark, d, "orders").selectExpr("o_orderkey", f"concat('x Bid Opening Date/Time', chr(10), case o_orderkey % 3 when 0 then {_D} when 1 then 'not applicable' else concat(repeat('- ', 90), {_D}) end) s")

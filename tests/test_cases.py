@@ -12,6 +12,7 @@ from leafmine.operators import outputs as O
 from leafmine.operators import pages as P
 from leafmine.operators import review as V
 from leafmine.operators import winners as W
+from leafmine.operators.places import split_places
 from leafmine.plans import extraction as X
 from leafmine.sources import files as S
 
@@ -220,3 +221,22 @@ def test_amount_signs_look_at_their_own_place_only():
     """What follows an amount says nothing about what stands before one."""
     assert reading.first_amount("fee 5 lakh7")[0] == 500000 and reading.first_amount("fee 5 cr05")[0] == 5e7
     assert reading.first_amount("sum,500/-")[0] == 500 and reading.first_amount("T-12,345/-")[0] is None
+
+
+def test_places_in_a_table_are_found_as_in_a_pattern(spark):
+    import random
+
+    rng = random.Random(2)
+    places = R.default_gazetteer()
+    names = [*places, *[n.title() for n in places], *R.STATES, "Plot 5", "near Gate", "PO", "Old-Town", "413215", "navi", "Goa road", "", "Delhi6"]
+    rows = [(i, rng.choice([", ", " ", "-", " - ", "/"]).join(rng.choices(names, k=rng.randint(0, 5)))) for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(rows, "i int, a string")
+    want = {r.i: tuple(r.p) for r in df.select("i", C.split_city_state(F.col("a")).alias("p")).collect()}
+    table = spark.createDataFrame(list(places.items()), "city string, state string")
+    assert {r.i: tuple(r.place) for r in split_places(df, "a", table).collect()} == want
+
+
+def test_many_places(spark):
+    table = spark.range(200_000).selectExpr("concat('Place ', id) city", "concat('S', id % 9) state")
+    rows = spark.createDataFrame([("at place 77777, Road",), ("Place 5 Place 6",), ("nowhere",)], "a string")
+    assert sorted((r.a, *r.place) for r in split_places(rows, "a", table).collect()) == [("Place 5 Place 6", "Place 5", "S5"), ("at place 77777, Road", "place 77777", "S8"), ("nowhere", "", "")]
