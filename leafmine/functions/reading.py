@@ -7,14 +7,12 @@ them. What expressions can say is in columns.py.
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate, islice, takewhile
-from operator import or_
 
 import regex
 
 from leafmine import rules as R
-from leafmine.functions.needles import Finder
+from leafmine.functions.needles import Finder, fold, lead
 
 _AMOUNT = re.compile(rf"({R.CURRENCY})?\s*({R.NUMBER})\s*(/-)?\s*({R.MULTIPLIER})?", re.I)
 _FILE_NAME = re.compile(R.FILE_NAME, re.I)
@@ -31,6 +29,7 @@ _ADDRESS = re.compile(R.ADDRESS, re.I)
 _BULLET = re.compile(r"[\s•*\-]*(?:\d+(?:\.\d+)*[).]?\s*)?")
 _SUB_ITEM = re.compile(R.SUB_ITEM)
 _DEVANAGARI = re.compile("[\u0900-\u097f]")
+_BLANKS, _EMPTY_LINES, _SPACES = re.compile("[ \t]+"), re.compile("\n{3,}"), re.compile(r"\s{2,}")
 _FILL = " :|-"
 
 BARE_LEAST, BARE_MOST, YEARS = 1000, 1e10, range(1900, 2101)
@@ -39,9 +38,8 @@ MONEY_WINDOW, TEXT_WINDOW, NIL_WINDOW = 140, 320, 120
 
 def clean(text: str) -> str:
     """PG1 for text inside a helper."""
-    for pattern, new in (("\u00a0", " "), ("\r", "\n"), ("[ \t]+", " "), ("\n{3,}", "\n\n")):
-        text = re.sub(pattern, new, text)
-    return text.strip()
+    text = _BLANKS.sub(" ", text.replace("\u00a0", " ").replace("\r", "\n"))
+    return _EMPTY_LINES.sub("\n\n", text).strip()
 
 
 # --- amounts -----------------------------------------------------------------------------------------------------
@@ -107,7 +105,7 @@ def text_value(window: str) -> str:
         if len(value) > 300 or not (line[0].islower() or _RUNS_ON.search(last)):
             break
         value, last = f"{value} {line}", line
-    return re.sub(r"\s{2,}", " ", value).strip(_FILL)
+    return _SPACES.sub(" ", value).strip(_FILL)
 
 
 def is_weak(field: str, value: str) -> bool:
@@ -165,16 +163,19 @@ class Page:
 
 
 class Pattern:
-    """A pattern that is searched only where a finder has seen one of its words."""
+    """A pattern that is searched only where a finder has seen its words."""
 
     def __init__(self, pattern: str, finder: Finder, flags: int = re.I):
-        self.find, self.bit = re.compile(pattern, flags), finder.add(pattern)
+        self.find, self.needs = re.compile(pattern, flags), finder.add(pattern)
+
+    def may(self, present: int) -> bool:
+        return all([present & need for need in self.needs])
 
     def hits(self, text: str, present: int) -> Iterator[re.Match]:
-        return self.find.finditer(text) if present & self.bit else iter(())
+        return self.find.finditer(text) if self.may(present) else iter(())
 
     def first(self, text: str, present: int) -> re.Match | None:
-        return self.find.search(text) if present & self.bit else None
+        return self.find.search(text) if self.may(present) else None
 
 
 def money(window: str, bare: bool) -> tuple | None:
@@ -212,6 +213,8 @@ class LabelScanner:
     """RL1: what the labels of a page say. every: all readings; else of each field the one that wins on its page."""
 
     COLUMNS = ["field", "loose", "pat_ix", "pos", "weak", "value", "conf", "numeric", "raw"]
+    #: Sets of words whose patterns are kept at hand.
+    KNOWN = 4096
 
     def __init__(self, rules: R.RuleSet, every: bool = False, finder: Finder | None = None):
         kinds = {f: k for f, _, k in R.FIELDS}
@@ -219,16 +222,25 @@ class LabelScanner:
         self.every, self.finder, self.fields = every, finder or Finder(), []
         for f, wordings in rules.labels.items():
             patterns = [(i, Pattern(p, self.finder), p in rules.bare_ok) for i, p in enumerate(wordings)]
-            bits = reduce(or_, (p.bit for _, p, _ in patterns), 0)
-            self.fields.append((f, kinds[f], read[kinds[f]](f), bits, patterns))
-
-    def _readings(self, page: Page, present: int, kind: str, read, patterns: list) -> Iterator[tuple]:
+            self.fields.append((f, kinds[f], read[kinds[f]](f), patterns))
+        self._known: dict[int, list] = {}
+
+    def _possible(self, present: int) -> list[tuple]:
+        """The fields and their patterns whose words a page has. Many pages have the same words."""
+        if present not in self._known:
+            if len(self._known) >= self.KNOWN:
+                self._known.clear()
+            some = [(f, kind, read, [(i, p.find, bare) for i, p, bare in patterns if p.may(present)]) for f, kind, read, patterns in self.fields]
+            self._known[present] = [x for x in some if x[3]]
+        return self._known[present]
+
+    def _readings(self, page: Page, kind: str, read, patterns: list) -> Iterator[tuple]:
         """In the order that decides: labels that head a line, then the others, by label and place. An anchored hit of a
         label that takes bare numbers is read again without them."""
         size, confs = (MONEY_WINDOW if kind == "money" else TEXT_WINDOW), ("medium", "low") if kind == "text" else ("high", "medium")
         later = []
-        for ix, pattern, bare in patterns:
-            for m in pattern.hits(page.text, present):
+        for ix, find, bare in patterns:
+            for m in find.finditer(page.text):
                 window = page.text[m.end() : m.end() + size].lstrip(" \t:/|.-–—")
                 anchored = page.heads(m.start(), m.end())
                 if not anchored or (kind == "money" and bare):
@@ -239,13 +251,11 @@ class LabelScanner:
             yield True, ix, m, read(window, False), confs[1]
 
     def __call__(self, text: str, present: int) -> Iterator[tuple]:
-        page = None
-        for field, kind, read, bits, patterns in self.fields:
-            if not present & bits:
-                continue
-            page = page or Page(text)
+        possible = self._possible(present)
+        page = Page(text) if possible else None
+        for field, kind, read, patterns in possible:
             second = None
-            for loose, ix, m, got, conf in self._readings(page, present, kind, read, patterns):
+            for loose, ix, m, got, conf in self._readings(page, kind, read, patterns):
                 if got is None:
                     continue
                 value, numeric, weak = got
@@ -386,12 +396,15 @@ class PageScanner:
         self.sections = (SectionScanner(rules, ("scope_of_work",), finder=f), SectionScanner(rules, ("penalty",), 4000, 0, finder=f))
         self.rates = RateScanner(f)
         self.named = [Pattern(p, f) for p in rules.headings["eligibility"]]
-        self.broken = regex.compile("|".join(rules.headings["eligibility"]), regex.I)
+        self.leads, self.broken = {lead(p) for p in rules.headings["eligibility"]}, regex.compile("|".join(rules.headings["eligibility"]), regex.I)
         self.standing = [Pattern(p, f) for p in R.STANDING]
         self.sheet = Pattern(R.SUMMARY_MARK, f)
         self.id, self.share, self.opening, self.meeting = (Pattern(p, f) for p in (R.PORTAL_ID, R.GUARANTEE, R.OPENING, R.PRE_BID))
 
     def _goes_on(self, text: str) -> bool:
+        tail = fold(text[-self.TAIL :])
+        if not any(word in tail for word in self.leads):
+            return False
         m = self.broken.search(text[-self.TAIL :] + "\n", partial=True)
         return m is not None and m.partial and m.end() > m.start()
 

@@ -415,13 +415,11 @@ def _answers(spark, d):
 _LINES_SQL = """l as (select l_orderkey, l_linenumber, max(l_extendedprice) p, max(l_returnflag) f from lineitem group by 1, 2)"""
 
 
-_FENCE = "'```json' || chr(10)"
-
-
-@_query("ai3_provider_answer", f"""with {_LINES_SQL}, a as (select l_orderkey, l_linenumber, '{{"fields": {{"emd": {{"value": "' || case when l_linenumber % 3 = 0 then 'NOT FOUND' else 'Rs. ' || cast(cast(trunc(p) as bigint) as varchar) end || '", "confidence": "' || case f when 'A' then 'high' when 'N' then 'medium' else 'low' end || '", "source_file": "f.pdf", "page": ' || l_linenumber || '}}}}}}' body from l)
-    select cast(l_orderkey as varchar) tender, l_linenumber chunk, case when l_linenumber % 2 = 0 then {_FENCE} || body || chr(10) || '```' else body end json from a""")
+@_query("ai3_provider_answer", f"""with {_LINES_SQL}
+    select cast(l_orderkey as varchar) tender, l_linenumber chunk, cast(case when l_linenumber % 2 = 0 then 2 else 1 end as int) as "rank", case when l_linenumber % 3 = 0 then 'NOT FOUND' else 'Rs. ' || cast(cast(trunc(p) as bigint) as varchar) end "value",
+        case f when 'A' then 'high' when 'N' then 'medium' else 'low' end confidence, 'f.pdf' source_file, cast(l_linenumber as varchar) page from l""")
 def ai3(spark, d):
-    return A.pick_provider_answer(_answers(spark, d), ["one", "two", "three"]).select("tender", "chunk", "json")
+    return A.pick_provider_answer(_answers(spark, d), ["one", "two", "three"]).select("tender", "chunk", "rank", F.col("fields")["emd"].alias("a")).select("tender", "chunk", "rank", "a.*")
 
 
 @_query("ai4_early_stop", """
