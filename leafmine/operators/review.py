@@ -37,11 +37,43 @@ def urgency(results: DataFrame, today: Column) -> DataFrame:
     return w.select("tender", "due", "days", "state", (F.array_position(F.array(*map(F.lit, STATES)), F.col("state")) - 1).cast("int").alias("state_rank"), "review", F.coalesce(C.money_number(F.col("e")), F.lit(0.0)).alias("emd"), "found")
 
 
-def search(board: DataFrame, results: DataFrame, q: str = "", review_only: bool = False, closing_14: bool = False) -> DataFrame:
-    """RV4: rows of the board whose folder or any value contains q, regardless of case."""
-    text = results.groupBy("tender").agg(F.array_join(F.collect_list("value"), " ").alias("t"))
-    hit = F.lower(F.concat_ws(" ", "tender", "t")).contains(q.lower())
-    out = board.join(text, "tender", "left").filter(hit).drop("t")
+def search_texts(results: DataFrame) -> DataFrame:
+    """RV4: tender, text: the folder and all its values in field order, in lower case."""
+    order = F.array_position(F.array(*map(F.lit, R.ORDER)), F.col("field"))
+    values = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.coalesce("value", F.lit("")).alias("v"))))
+    t = results.groupBy("tender").agg(values.alias("xs"))
+    return t.select("tender", F.lower(F.concat_ws(" ", "tender", F.transform("xs", lambda x: x["v"]))).alias("text"))
+
+
+#: Characters of a piece in the search index.
+GRAM = 3
+
+
+def search_index(texts: DataFrame) -> DataFrame:
+    """RV4: gram, tender: every piece of three characters of search_texts(), to be written by gram (say
+    partitionBy(substring(gram, 1, 1)) or sorted), so that a search reads the postings of its own pieces alone."""
+    grams = F.transform(F.sequence(F.lit(1), F.length("text") - GRAM + 1), lambda i: F.substring("text", i, F.lit(GRAM)))
+    return texts.filter(F.length("text") >= GRAM).select("tender", F.explode(F.array_distinct(grams)).alias("gram")).select("gram", "tender")
+
+
+def _found_by(texts: DataFrame, q: str, index: DataFrame | None) -> DataFrame:
+    """tender of the texts that contain q."""
+    q = q.lower()
+    grams = {q[i : i + GRAM] for i in range(len(q) - GRAM + 1)}
+    if index is not None and grams:
+        # whoever contains q has all of its pieces; that they stand together is then looked up in these texts alone
+        all_of = index.filter(F.col("gram").isin(*grams)).groupBy("tender").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(grams))
+        texts = texts.join(all_of.select("tender"), "tender", "left_semi")
+    return texts.filter(F.col("text").contains(q)).select("tender")
+
+
+def search(board: DataFrame, results: DataFrame, q: str = "", review_only: bool = False, closing_14: bool = False, index: DataFrame | None = None) -> DataFrame:
+    """RV4: rows of the board whose folder or any value contains q, regardless of case.
+
+    index: search_index() of the same results, if there is one; searches of fewer than three characters scan all texts."""
+    out = board
+    if q:
+        out = out.join(_found_by(search_texts(results), q, index), "tender", "left_semi")
     if review_only:
         out = out.filter("review > 0")
     return out.filter("days between 0 and 14") if closing_14 else out

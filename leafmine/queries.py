@@ -655,6 +655,14 @@ def rv4(spark, d):
     return V.search(_board(spark, d), _board_results(spark, d), "1", True, True).select("tender", "state")
 
 
+@_query("rv4_search_index", f"""with {_BOARD_SQL} select tender, state from q where contains('site ' || tender || ' pune', 'e 1') or contains(tender || ' site', '1 site')""")
+def rv4_index(spark, d):
+    r = _board_results(spark, d)
+    index = Scratch(spark, "search").write(V.search_index(V.search_texts(r)), "index")
+    board = _board(spark, d)
+    return V.search(board, r, "E 1", index=index).union(V.search(board, r, "1 Site", index=index)).distinct().select("tender", "state")
+
+
 @_query("rv5_sort_rows", f"""with {_BOARD_SQL}, k as (select *, case state when 'urgent' then 0 when 'soon' then 1 when 'open' then 2 else 3 end s from q)
     select tender, state from k order by s, days asc nulls last, tender limit 25""")
 def rv5(spark, d):

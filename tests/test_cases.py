@@ -240,3 +240,22 @@ def test_many_places(spark):
     table = spark.range(200_000).selectExpr("concat('Place ', id) city", "concat('S', id % 9) state")
     rows = spark.createDataFrame([("at place 77777, Road",), ("Place 5 Place 6",), ("nowhere",)], "a string")
     assert sorted((r.a, *r.place) for r in split_places(rows, "a", table).collect()) == [("Place 5 Place 6", "Place 5", "S5"), ("at place 77777, Road", "place 77777", "S8"), ("nowhere", "", "")]
+
+
+def test_search_by_index_equals_the_scan(spark):
+    import random
+
+    rng = random.Random(9)
+    words = ["Rs. 500/-", "Pune", "NOT FOUND - verify manually", "GEM/2026/B/77", "ÄÖ x", "a", ""]
+    rows = [(f"T{t}", f, rng.choice(words) + rng.choice(["", " ", "b"]) + rng.choice(words)) for t in range(60) for f in rng.sample(list(R.ORDER), 4)]
+    results = spark.createDataFrame(rows, "tender string, field string, value string")
+    texts = V.search_texts(results).cache()
+    index = V.search_index(texts).cache()
+    board = texts.selectExpr("tender", "1 review", "3 days")
+    known = {r.tender: r.text for r in texts.collect()}
+    for _ in range(12):
+        text = rng.choice(sorted(known.values()))
+        at, n = rng.randrange(max(1, len(text) - 8)), rng.choice([1, 2, 3, 5, 8])
+        q = rng.choice([text[at : at + n], text[at : at + n].upper(), text[at : at + 2] + "zz"])
+        want = {t for t, x in known.items() if q.lower() in x}
+        assert {r.tender for r in V.search(board, results, q, index=index).collect()} == want == {r.tender for r in V.search(board, results, q).collect()}, q
