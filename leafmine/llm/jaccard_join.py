@@ -37,6 +37,8 @@ REGION_PIVOTS, REGION_PIVOT_SIZE = 4096, 2048
 CROWD, REGION_ROWS, ROUNDS = 32, 500, 6
 #: Common shingles that each task knows; one class in COMMON_OF is looked at to find them.
 COMMON, COMMON_OF, COMMON_COUNT = 100_000, 64, 3
+#: Classes of a shingle up to which it is paired beside the others that the same classes share.
+TOGETHER = 32
 _SIGS = 1 << 19
 
 
@@ -249,28 +251,43 @@ def _signatures(common, sent, k: int, percent: int, buckets: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket after another: the first shingles that several classes have."""
-    prints: dict[int, list[bytes]] = {}
-    nodes: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for b, p, q in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            prints.setdefault(b, []).append(p)
-            nodes.setdefault(b, []).append(q)
-    for b in list(prints):
-        f, node = np.frombuffer(b"".join(prints.pop(b)), np.uint64), np.frombuffer(b"".join(nodes.pop(b)), np.int64)
-        order = np.argsort(f, kind="stable")
-        f, node = f[order], node[order]
-        same = np.zeros(len(f) + 1, bool)
-        same[1:-1] = f[1:] == f[:-1]
-        many = same[1:] | same[:-1]
-        f, node = f[many], node[many]
-        for i in range(0, len(f), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f[i : i + 200_000]), b, np.int32)), pa.array(f[i : i + 200_000].view(np.int64)), pa.array(node[i : i + 200_000])], ["bucket", "print", "node"])
+def _shared(buckets: int):
+    """Of one bucket after another: the first shingles that several classes have, dealt anew.
+
+    A shingle goes to the bucket of one class that has it, the one that comes first by a hash, so those that the same classes
+    share meet in one bucket or a few, and a pair of classes is counted there and not in every bucket. A shingle of
+    more than TOGETHER classes may go to as many buckets as it has TOGETHER classes, so that a large group isn't one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints: dict[int, list[bytes]] = {}
+        nodes: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, p, q in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                prints.setdefault(b, []).append(p)
+                nodes.setdefault(b, []).append(q)
+        for b in list(prints):
+            f, node = np.frombuffer(b"".join(prints.pop(b)), np.uint64), np.frombuffer(b"".join(nodes.pop(b)), np.int64)
+            order = np.argsort(f, kind="stable")
+            f, node = f[order], node[order]
+            same = np.zeros(len(f) + 1, bool)
+            same[1:-1] = f[1:] == f[:-1]
+            many = same[1:] | same[:-1]
+            f, node = f[many], node[many]
+            if not len(f):
+                continue
+            at = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+            n = np.diff(np.append(at, len(f)))
+            low = np.minimum.reduceat(T.mix(node.view(np.uint64) + np.uint64(1)), at)
+            part = T.mix(f[at]) % (-(-n // TOGETHER)).astype(np.uint64)
+            to = np.repeat((T.mix(low + part) % np.uint64(buckets)).astype(np.int32), n)
+            for i in range(0, len(f), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 200_000]), pa.array(f[i : i + 200_000].view(np.int64)), pa.array(node[i : i + 200_000])], ["bucket", "print", "node"])
+
+    return run
 
 
 def _pairs(percent: int):
-    """Pairs of classes of different colours that share first shingles of this partition's buckets, with how many.
+    """Pairs of classes of different colours that share first shingles of this partition's buckets (see _shared), with how many.
 
     tag: 3 a pivot of all classes, 2 a pivot of all hot classes, 1 a hot class. What was measured isn't paired again."""
 
@@ -392,7 +409,7 @@ def links(texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = spark.sparkContext.broadcast(pivots)
     sigs = texts.select("node", "text").mapInArrow(_signatures(common, sent, k, percent, buckets), "bucket int, prints binary, nodes binary")
-    shared = scratch.write(sigs.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "bucket int, print long, node long"), "shared")
+    shared = scratch.write(sigs.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared(buckets), "bucket int, print long, node long"), "shared")
     # a class needs so many shared ones even with the smallest partner
     live = shared.groupBy("node").agg(F.count("*").alias("c")).join(texts.select("node", "n"), "node")
     live = live.filter(f"c >= {least_shared('n', f'(({percent} * n + 99) div 100)', percent)}").select("node", "n")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,34 @@ def test_jaccard_groups(docs, rows, none):
     assert not jaccard_join.near_groups(none).count()
 
 
+def test_jaccard_pairs_are_counted_in_few_places():
+    """Groups of similar classes: a pair of them isn't a row in every bucket that one of its shingles could be in."""
+    rng, buckets = np.random.default_rng(3), 64
+    prints, nodes = [], []
+    for g in range(20):
+        pool = rng.integers(0, 1 << 63, 150).astype(np.uint64)
+        for i in range(24):
+            prints.append(rng.choice(pool, 100, replace=False))
+            nodes.append(np.full(100, 24 * g + i))
+    everyone = [np.full(600, 5, np.uint64), np.arange(1000, 1600)]
+    f, node = np.concatenate([*prints, everyone[0]]), np.concatenate([*nodes, everyone[1]]).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([f.tobytes()], pa.binary()), pa.array([node.tobytes()], pa.binary())], ["bucket", "prints", "nodes"])
+    rows = pa.Table.from_batches(jaccard_join._shared(buckets)(iter([batch]))).to_pandas()
+    assert len(rows) == len(f) and (rows.groupby("print").bucket.nunique() == 1).all()
+    rows = rows[rows.node < 1000].assign(n=100, tag=0)
+    rows["colour"] = rows.node
+    parts = [pa.RecordBatch.from_pandas(x, preserve_index=False) for _, x in rows.groupby("bucket")]
+    got = pa.Table.from_batches([b for p in parts for b in jaccard_join._pairs(75)(iter([p]))]).to_pandas()
+    pairs = got.groupby(["a", "b"]).c.sum()
+    assert len(pairs) == 20 * 24 * 23 // 2 and len(got) < 10 * len(pairs)
+    sets = {int(n[0]): set(p.tolist()) for p, n in zip(prints, nodes, strict=True)}
+    assert all(c == len(sets[a] & sets[b]) for (a, b), c in pairs.items())
+    # the shingles of one large group go to many buckets
+    some = np.concatenate([np.full(600, k, np.uint64) for k in range(200)])
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([np.tile(everyone[1], 200).tobytes()], pa.binary())], ["bucket", "prints", "nodes"])
+    assert pa.Table.from_batches(jaccard_join._shared(buckets)(iter([batch]))).to_pandas().bucket.nunique() > 12
+
+
 def test_jaccard_region_rounds(spark, monkeypatch):
     """A chain of edits around one text: dense regions that pivots of their own take apart."""
     rng = np.random.default_rng(3)
