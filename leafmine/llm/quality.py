@@ -17,6 +17,8 @@ from leafmine.llm import textops as T
 
 #: Most labelled rows that a model learns from; they are gathered on the driver.
 SAMPLE_ROWS = 20_000
+#: Bytes of text that a worker reads at once.
+READ_BYTES = 1 << 18
 _CLASSES = ["lower", "upper", "digit", "space", "newline", "high", ".", ",", "!", "|", "*$%&#", "<>{}[]()", "/:@_=-", "other"]
 NAMES = ["log_bytes", "log_words", "word_bytes", "line_bytes", "distinct_words", "repeated_grams", "repeated_lines", "no_letter_words", "long_words", "entropy", *(f"share {c}" for c in _CLASSES)]
 
@@ -144,7 +146,7 @@ def _mapped(model: Trees | None, column: str = "features"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, classes = T.Hasher(), _class_table()
         for batch in batches:
-            parts = [statistics(data, offsets, hasher, classes) for _, _, data, offsets in T.rows(batch)]
+            parts = [statistics(data, offsets, hasher, classes) for _, _, data, offsets in T.rows(batch, limit=READ_BYTES)]
             if not parts:
                 continue
             x = np.concatenate(parts)

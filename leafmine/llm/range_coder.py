@@ -18,6 +18,8 @@ BLOCK = 1024
 MAGIC = b"IDMX\x02"
 #: Blocks that are coded side by side at most: their tables stay near the processor.
 LANES = 2048
+#: Blocks whose words are put together at once, and pairs of words that are packed at once.
+CARRIED, PACKED = 256, 1 << 16
 _BITS = 20  # of a coder step, and of the words written
 _FREQ = 17  # of the total of the frequencies in the head
 _ROWS = 8  # bits of the number of rows of a block's table of entries
@@ -146,7 +148,13 @@ def _coded(steps: np.ndarray, low_of: np.ndarray, high_of: np.ndarray) -> tuple[
     for i in range(n, n + 3):
         word[i] = low >> _U(2 * _BITS)
         low = low << _B & _MASK3
-    # block by block; a step's carry goes to the last word that its block wrote before it, and from there on to earlier ones
+    # some blocks at a time, so that their places take little memory
+    parts = [_carried(*(x[:, i : i + CARRIED] for x in (word, full, carry))) for i in range(0, lanes, CARRIED)]
+    return np.concatenate(parts), full.sum(0)
+
+
+def _carried(word: np.ndarray, full: np.ndarray, carry: np.ndarray) -> np.ndarray:
+    """The words written, block by block; a step's carry goes to the last word that its block wrote before it, and from there on to earlier ones."""
     at = np.flatnonzero(np.ascontiguousarray(full.T))
     words = np.ascontiguousarray(word.T).reshape(-1)[at]
     over = np.searchsorted(at, np.flatnonzero(np.ascontiguousarray(carry.T))) - 1
@@ -155,12 +163,11 @@ def _coded(steps: np.ndarray, low_of: np.ndarray, high_of: np.ndarray) -> tuple[
         over = np.flatnonzero(words >> np.uint32(_BITS))
         words[over] &= np.uint32((1 << _BITS) - 1)
         over -= 1
-    return words, full.sum(0)
+    return words
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A segment: all ids in blocks of `block`, each with its checksum."""
-    ids = np.ascontiguousarray(ids, np.uint32)
     n = len(ids)
     present, freq = frequencies(ids) if n else (np.zeros(0, np.uint32), np.zeros(0, np.uint32))
     lanes = -(-n // block)
@@ -171,6 +178,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         low_of[present], high_of[present] = cum[:-1], cum[1:]
         full = np.full(lanes * block, ids[-1], np.int32)
         full[:n] = ids
+        ids = full[:n].view(np.uint32)
         for i in range(0, lanes, LANES):
             w, u = _coded(np.ascontiguousarray(full[i * block : (i + LANES) * block].reshape(-1, block).T), low_of, high_of)
             words.append(w)
@@ -184,17 +192,24 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
 
 def _packed(words: np.ndarray) -> bytes:
     """20-bit words, two in five bytes."""
-    w = np.append(words, [0] * (len(words) % 2)).astype(_U).reshape(-1, 2)
-    both = w[:, 0] << _B | w[:, 1]
-    return np.ascontiguousarray(both.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    out = np.empty((-(-len(words) // 2), 5), np.uint8)
+    for i in range(0, len(out), PACKED):
+        w = words[2 * i : 2 * (i + PACKED)].astype(_U)
+        both = w[::2] << _B
+        both[: len(w) // 2] |= w[1::2]
+        out[i : i + PACKED] = both.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return out.tobytes()
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8, -(-n // 2) * 5).reshape(-1, 5)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :5] = raw
-    both = full.reshape(-1).view("<u8")
-    return np.column_stack((both >> _B, both & _U((1 << _BITS) - 1))).astype(np.uint32).reshape(-1)[:n]
+    words = np.empty((len(raw), 2), np.uint32)
+    for i in range(0, len(raw), PACKED):
+        full = np.zeros((min(PACKED, len(raw) - i), 8), np.uint8)
+        full[:, :5] = raw[i : i + PACKED]
+        both = full.reshape(-1).view("<u8")
+        words[i : i + PACKED, 0], words[i : i + PACKED, 1] = both >> _B, both & _U((1 << _BITS) - 1)
+    return words.reshape(-1)[:n]
 
 
 def _head(data: bytes) -> tuple:

@@ -24,8 +24,10 @@ from leafmine.llm import textops as T
 END_ID = 2
 #: Ids after which a segment ends with the document at hand.
 SEGMENT_IDS = range_coder.BLOCK * 4096
-#: Pieces whose ids a worker remembers.
-WORDS_KEPT = 2_500_000
+#: Pieces whose ids a worker remembers, in about 45 MB.
+WORDS_KEPT = 1_250_000
+#: Bytes of text that are encoded at once: an executor's workers share its memory with a JVM that earlier stages have filled.
+ENCODED_BYTES = 1 << 18
 SEGMENT = "part int, segment int, ids_before long, doc_ids array<long>, n_tokens array<int>, payload binary"
 
 
@@ -77,7 +79,7 @@ class _Pieces(_Plain):
     with anything else (or with what could be a special token) is a piece as a whole. Each worker encodes a piece
     once and finds its ids by a hash again."""
 
-    BITS = 22
+    BITS = 21
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -99,8 +101,9 @@ class _Pieces(_Plain):
 
     def clear(self) -> None:
         self.keys, self.place = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.int32)
-        self.at, self.n = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.ids = np.zeros(0, self.kind)
+        # number 0 is no piece, and the end id lies at place 0
+        self.at, self.n = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.ids = np.full(1, END_ID, self.kind)
         self.known = 1
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -138,8 +141,8 @@ class _Pieces(_Plain):
         # what the model itself reads: lower-cased, and each byte as its sign
         got = [[t.id for t in model.tokenize(w.lower().encode().decode("latin-1").translate(self.signs))] for w in single]
         got += [self.ids_of(w) for w in whole]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
+        n = np.fromiter(map(len, got), np.int32, len(got))
+        self.at = np.concatenate((self.at, (len(self.ids) + np.cumsum(n) - n).astype(np.int32)))
         self.n = np.concatenate((self.n, n))
         self.ids = np.concatenate((self.ids, np.fromiter((x for w in got for x in w), self.kind, int(n.sum()))))
 
@@ -202,10 +205,10 @@ class _Pieces(_Plain):
             self._keep(keys[kept], rank[kept])
         at, n = self.at[number], self.n[number]
         # the end id as one more piece of each text
-        at, n = np.insert(at, first[1:], -1), np.insert(n, first[1:], 1)
+        at, n = np.insert(at, first[1:], 0), np.insert(n, first[1:], 1)
         first = first + np.arange(len(first))
         total = np.concatenate(([0], np.cumsum(n)))
-        return np.append(self.ids, self.kind(END_ID))[T.ranges(at, at + n)], np.diff(total[first])
+        return self.ids[T.ranges(at, at + n)], np.diff(total[first])
 
     def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A long text in slices that end before white space, so that memory doesn't follow its length."""
@@ -236,17 +239,21 @@ def _written(tokenizer: str):
         doc_ids, sizes, held, total = [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            payload = range_coder.encode(np.concatenate(held))
+            ids = np.concatenate(held)
+            held.clear()
+            payload = range_coder.encode(ids)
+            del ids
+            T.release()
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([np.concatenate(sizes)], pa.list_(pa.int32())), pa.array([payload], pa.binary())],
                 ["part", "segment", "ids_before", "doc_ids", "n_tokens", "payload"],
             )
 
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for lo, hi, data, offsets in T.rows(batch):
+            keys = batch.column(batch.schema.get_field_index("doc_id"))
+            for lo, hi, data, offsets in T.rows(batch, limit=ENCODED_BYTES):
                 got, n = vocabulary.encode(data, offsets)
-                doc_ids += ids.slice(lo, hi - lo).to_pylist()
+                doc_ids += keys.slice(lo, hi - lo).to_pylist()
                 sizes.append(n)
                 held.append(got)
                 total += len(got)

@@ -3,8 +3,10 @@ clashing column names, and on an empty table."""
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmine.llm import chat_tree, decontaminate, jaccard_join, keys, line_dedup, mixing, quality, range_coder, repeats, secret_ledger, token_output, winnow
+from leafmine.llm.queries import tokenizer_path
 from leafmine.llm.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -365,6 +368,44 @@ def test_range_coder(n):
                 range_coder.decode(good[:size])
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 2 * range_coder.PACKED - 1, 2 * range_coder.PACKED + 1])
+def test_packed_words(n):
+    words = np.random.default_rng(n).integers(0, 1 << 20, n).astype(np.uint32)
+    data = range_coder._packed(words)
+    assert len(data) == -(-n // 2) * 5 and (range_coder._unpacked(data, n) == words).all()
+
+
+def test_token_output_memory(monkeypatch):
+    """What a worker needs beside its input, while texts are encoded and ids coded. Pipelines have little left for it."""
+    rng, path = np.random.default_rng(5), tokenizer_path("word_bpe_49k.json")
+    words = np.array(["".join(x) for x in rng.choice(list("abcdefghij"), (20_000, 6))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([" ".join(rng.choice(words, 300)) for _ in range(2000)])], ["doc_id", "text"])
+    monkeypatch.setattr(token_output.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    token_output._vocabulary(path)
+    ids = rng.integers(0, 3000, 1 << 21).astype(np.uint16)
+    tracemalloc.start()
+    try:
+        got = list(token_output._written(path)(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 60e6 and sum(sum(b.column("n_tokens")[0].as_py()) for b in got) > 600_000
+        tracemalloc.reset_peak()
+        data = range_coder.encode(ids)
+        assert tracemalloc.get_traced_memory()[1] < 30 * len(ids)
+    finally:
+        tracemalloc.stop()
+    assert (range_coder.decode(data) == ids).all()
+
+
+def test_quality_memory():
+    text = " ".join(np.random.default_rng(6).choice([f"word{i}" for i in range(999)], 300))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([text] * 2000)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        got = list(quality._mapped(None)(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 40e6 and sum(map(len, got)) == 2000
+    finally:
+        tracemalloc.stop()
+
+
 def test_token_output(spark, docs, rows, none):
     import public_tokenizers
     from tokenizers import Tokenizer
